@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, packing, planes
+from millrace.llm import bpe, credentials, langid, licenses, packing, planes, topk
 from millrace.llm.common import shared_dir, table
 
 
@@ -22,12 +22,39 @@ def op2_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.read(spark, manifest).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best other vectors of every 20th vector."""
+    return topk.search(table(spark, sf_dir, "embeddings"), k=20, scale=64, query_divisor=20)
+
+
+def op4_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of the secrets in all documents."""
+    found = credentials.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    linked = (F.size("spans") - F.size(base)).cast("long").alias("n_linked")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), linked, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License labels of all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, by profiles of those that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs.select("doc_id", "text"), langid.learn(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all documents' ids and of the bytes decoded from them."""
     encoded = bpe.encode_decode(table(spark, sf_dir, "documents"), bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
     return bpe.digests(encoded)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_plane_files, op7_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_plane_files, op3_topk, op4_credentials, op5_licenses, op6_language_id, op7_byte_bpe)}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_topk": topk.ORACLE}
