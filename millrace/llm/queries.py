@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, credentials, langid, licenses, packing, planes, topk
+from millrace.llm import bpe, credentials, fingerprints, langid, licenses, packing, planes, quality, topk
 from millrace.llm.common import shared_dir, table
 
 
@@ -55,6 +55,19 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(encoded)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_plane_files, op3_topk, op4_credentials, op5_licenses, op6_language_id, op7_byte_bpe)}
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, their edited texts and how like they are."""
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probability of all documents, by the labels that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.learn(docs, table(spark, sf_dir, "labels"))
+    found = quality.grade(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "expected_grade", "p_tail", "accepted")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_plane_files, op3_topk, op4_credentials, op5_licenses, op6_language_id, op7_byte_bpe, op8_fingerprints, op9_quality)}
 
 ORACLES = {"op3_topk": topk.ORACLE}
