@@ -140,3 +140,32 @@ def scan(docs: DataFrame, reach: int = 400, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, kind)], ["doc_id", "spans"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, SPANS)
+
+
+def redact(docs: DataFrame, reach: int = 400, mark: str = "[secret]", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """``docs`` with ``mark`` in place of every span, overlapping ones counting as one; all rows and columns stay.
+
+    ``length_col``, if there is one, is set to the new length where the text has changed.  Null texts stay null.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text_col):
+            columns = dict(zip(part.schema.names, part.columns, strict=True))
+            old = columns[text_col].to_pylist()
+            new = [t and _masked(t, scan_text(t, reach), mark) for t in old]
+            columns[text_col] = pa.array(new, columns[text_col].type)
+            if length_col in columns:
+                lengths = columns[length_col].to_pylist()
+                columns[length_col] = pa.array([n if a == b else len(b) for n, a, b in zip(lengths, old, new, strict=True)], columns[length_col].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _masked(text: str, spans: list[tuple[str, int, int, bool]], mark: str) -> str:
+    out, at = [], 0
+    for start, end in sorted((s, e) for _, s, e, _ in spans):
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join(out) + text[at:]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, credentials, fingerprints, langid, licenses, packing, planes, quality, topk
+from millrace.llm import bpe, credentials, fingerprints, jaccard, langid, licenses, packing, planes, quality, topk
 from millrace.llm.common import shared_dir, table
 
 
@@ -68,6 +68,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "expected_grade", "p_tail", "accepted")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_plane_files, op3_topk, op4_credentials, op5_licenses, op6_language_id, op7_byte_bpe, op8_fingerprints, op9_quality)}
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under Jaccard similarity of at least 0.75 of five-word shingles."""
+    return jaccard.components(table(spark, sf_dir, "documents"), num=75, den=100, shingle=5)
 
-ORACLES = {"op3_topk": topk.ORACLE}
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_plane_files, op3_topk, op4_credentials, op5_licenses, op6_language_id, op7_byte_bpe, op8_fingerprints, op9_quality, op10_jaccard)}
+
+ORACLES = {"op3_topk": topk.ORACLE, "op10_jaccard": jaccard.ORACLE}
