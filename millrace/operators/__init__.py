@@ -1 +1 @@
-
+"""Relational operators as functions over DataFrames."""

@@ -1 +1 @@
-
+"""Structured Streaming into keyed tables."""
