@@ -1,0 +1,288 @@
+"""Secrets, licenses, fingerprints, language, quality and search on small cases."""
+
+import hashlib
+import random
+import re
+from zlib import crc32
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from millrace.llm import credentials, fingerprints, langid, licenses, quality, topk
+
+ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def plain_spans(text):
+    found = [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 12]
+    found += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    found += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return [(kind, s, e) for s, _, kind, e in sorted(found)]
+
+
+SECRET_PARTS = ["password", "PassWd", "ſecret", "toKen", "api_KEY", "apikey", "=", ": ", " = ", "\"", "'", "abcdefghijkl", "short", "AKIA", "AKIAABCDEFGHIJKLMN", "0123456789abcdef", "deadbeef", "é", "\n", "\n\n", " ", "https://api.example.com/v1", "client_id=abcd1234", "Zx9Kq27LmP04TtRw81Bv"]
+
+
+@given(st.lists(st.sampled_from(SECRET_PARTS), max_size=25).map("".join))
+@settings(max_examples=400, deadline=None)
+def test_base_spans_are_the_patterns(text):
+    found = credentials.scan_text(text)
+    assert [(k, s, e) for k, s, e, base in found if base] == plain_spans(text)
+    assert found == sorted(found, key=lambda x: (x[1], credentials.KINDS.index(x[0]), x[2]))
+
+
+def kinds(text):
+    return {k for k, *_, base in credentials.scan_text(text) if not base}
+
+
+def test_weak_parts_need_their_complement():
+    token, endpoint, name = "Zx9Kq27LmP04TtRw81Bv", "https://api.example.com/v1", "client_id=abcd1234"
+    for alone in (token, endpoint, name, f"{endpoint} {name}"):
+        assert kinds(alone) == set()
+    assert kinds(f"{name} then {token}") == {"identifier", "token"}
+    assert kinds(f"{endpoint} with {token}") == {"token"}
+    assert kinds(f"{endpoint} {name} {token}") == {"identifier", "token", "endpoint"}
+    assert kinds(f"{endpoint} password=abcdefghijklmnop") == {"endpoint"}
+    assert kinds(f"{name}\n\n{token}") == set()  # another scope
+    assert kinds(f"{name}{' word' * 200} {token}") == set()  # out of reach
+
+
+def test_redact_keeps_rows_and_clean_texts(spark):
+    rows = [(1, "x password=abcdefghijklmnop y", 29, "a"), (2, "clean", 5, None), (3, None, None, "b"), (None, "", 0, "c"), (5, "token = 0123456789abcdef0123", 28, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, spans string")
+    got = {r["doc_id"]: tuple(r) for r in credentials.redact(docs).collect()}
+    assert got[1] == (1, "x [secret] y", 12, "a") and got[2] == rows[1] and got[3] == rows[2] and got[None] == rows[3]
+    assert got[5][1] == "[secret]" and credentials.scan(docs.limit(0)).collect() == []
+    assert len(credentials.scan(docs).where("size(spans) = 0").collect()) == 3
+
+
+def plain_license(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    places = [k for phrase, _ in licenses.BASE for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
+    labels = sorted({label for phrase, label in licenses.BASE if any(words[k : k + len(phrase.split())] == phrase.split() for k in range(len(words)))})
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(labels)
+
+
+LICENSE_PARTS = ["CC", "by", "cc-by", "General", "public", "license", "all rights", "Reserved", ".", " ", "\n", "é", "ÀB", "mit", "under the ", "licensed ", "Apache", "2.0", "x"]
+
+
+@given(st.lists(st.sampled_from(LICENSE_PARTS), max_size=30).map(" ".join) | st.lists(st.sampled_from(LICENSE_PARTS), max_size=20).map("".join))
+@settings(max_examples=300, deadline=None)
+def test_license_base(text):
+    got = licenses.report(text, SCANNER)
+    assert got[:5] == plain_license(text)
+    assert set(filter(None, got[4].split(","))) <= set(got[5].split(","))
+
+
+SCANNER = licenses.Scanner(licenses.make_rules())
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("Licensed under the Apache License, Version 2.0.", "apache-2.0"),
+        ("Released under the MIT License.", "mit"),
+        ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc-4.0"),
+        ("This work is licensed under the GNU General Public License, version 3.", "gpl,gpl-3"),
+        ("SPDX-License-Identifier: BSD-3-Clause", "bsd-3-clause"),
+        ("All rights reserved.", "reserved"),
+        ("the mit of ordinary words under a license", ""),
+    ],
+)
+def test_license_labels(text, labels):
+    assert licenses.report(text, SCANNER)[5] == labels
+    assert len(SCANNER.rules) > 300
+
+
+def test_suppression_is_containment_by_strength():
+    rule = lambda p: licenses.Rule("x", 0.5, p, "", re.compile(""))
+    rng = random.Random(3)
+    for _ in range(200):
+        rules = [rule(rng.randrange(3)) for _ in range(5)]
+        found = [(s, s + rng.randrange(1, 8), rng.randrange(5)) for s in (rng.randrange(12) for _ in range(9))]
+        found = list(set(found))
+        strength = lambda x: (rules[x[2]].priority, x[1] - x[0], -x[2])  # noqa: E731, B023
+        expected = [x for x in sorted(found) if not any(y != x and y[0] <= x[0] and x[1] <= y[1] and strength(y) > strength(x) for y in found)]
+        assert [(s, e) for s, e, _ in licenses.suppress(found, rules)] == [(s, e) for s, e, _ in expected]
+
+
+def test_license_table_edges(spark):
+    docs = spark.createDataFrame([(1, None, 1), (2, "", 2), (None, "CC BY", 3)], "doc_id long, text string, labels int")
+    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    assert got[1]["n_words"] == got[2]["n_words"] == 0 and got[1]["first_word"] is None and got[1]["score"] == 0
+    assert got[None]["n_base"] == 1 and got[None]["base_labels"] == "cc-by" and licenses.scan(docs.limit(0)).collect() == []
+
+
+def edited_plainly(rows):
+    rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), (r[1] or "").encode()))
+    out = []
+    for k, (doc_id, text) in enumerate(rows):
+        text, following = text or "", rows[(k + 1) % len(rows)][1] or ""
+        changed = text[: len(text) - len(text) // 3] + following[: len(text) // 3]
+        form = [fingerprints.canonical(t) for t in (text, changed, following)]
+        marks = [fingerprints.digest(f) for f in form]
+        out.append((doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), marks[0], marks[1], float(form[0] == form[1]), float(form[0] == form[2])))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [],
+        [(1, "lonely text")],
+        [(k * 7 % 50, f"text {k % 5} " * (k % 9)) for k in range(50)],
+        [(1, "abcdef"), (1, "xyz"), (None, None), (None, "qq"), (5, "ABC  DEF"), (3, ""), (-4, "abc def"), (2**62, "é" * 4000)],
+    ],
+)
+def test_fingerprints_with_next(spark, rows):
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, key string")
+    assert sorted((tuple(r) for r in fingerprints.compare_with_next(docs).collect()), key=str) == edited_plainly(rows)
+
+
+def test_canonical_form():
+    assert fingerprints.canonical(" Ａ\t ß x ") == fingerprints.canonical("a SS x") == b"a ss x"
+    assert fingerprints.canonical("a b") != fingerprints.canonical("ab")
+
+
+def test_copies_compare_bytes_inside_buckets(spark, monkeypatch):
+    rows = [(1, "Same text"), (2, "other"), (3, "same  TEXT"), (4, None), (5, ""), (6, "third"), (7, "THIRD"), (None, "third"), (2, "zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["copy_of"] for r in fingerprints.copies(docs).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4, 6: 6, 7: 6}
+
+
+def test_copies_survive_colliding_fingerprints(spark, monkeypatch):
+    collide = lambda df, *_: df.selectExpr("doc_id", "'same' AS fingerprint")
+    monkeypatch.setattr(fingerprints, "fingerprints", collide)
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "A"), (4, "B"), (5, "c")], "doc_id long, text string")
+    assert {r["doc_id"]: r["copy_of"] for r in fingerprints.copies(docs).collect()} == {1: 1, 2: 2, 3: 1, 4: 2, 5: 5}
+
+
+def plain_ngrams(text):
+    s = "".join(c if c.isalpha() else " " for c in text.lower())
+    s = " " + " ".join(s.split()) + " "
+    grams = [s[k : k + n] for n in (1, 2, 3) for k in range(len(s) - n + 1)]
+    grams = [g for g in grams if g.strip() and not (len(g) == 3 and g[1] == " ")]
+    return {g: grams.count(g) for g in grams}
+
+
+@given(st.text(alphabet="aB é1.\nßИ", max_size=30))
+@settings(max_examples=200, deadline=None)
+def test_ngrams(text):
+    keys, counts = langid.ngrams(text)
+    name = lambda k: "".join(chr(k >> s & (1 << 21) - 1) for s in (0, 21, 42)).rstrip("\0")
+    expected = plain_ngrams(text) if any(c.isalpha() for c in text) else {}
+    assert {name(int(k)): int(c) for k, c in zip(keys, counts, strict=True)} == expected
+
+
+def test_out_of_place_distance():
+    lists = {"x": [1, 2, 3], "y": [3, 5, 1]}
+    profiles = langid.Profiles(lists, 3)
+    own = [3, 1, 9]
+    distance = lambda l: sum(abs(k - l.index(g)) if g in l else 3 for k, g in enumerate(own))
+    import unittest.mock as mock
+
+    with mock.patch.object(langid, "ranked", lambda text, size: np.array(own)):
+        name, score = profiles.predict("any")
+    assert name == min(lists, key=lambda n: (distance(lists[n]), n)) and score == 1 - min(map(distance, lists.values())) / 9
+
+
+def made_up(rng, letters, n=60):
+    return " ".join("".join(rng.choices(letters, k=rng.randrange(2, 8))) for _ in range(n))
+
+
+def test_language_by_held_out_documents(spark):
+    rng = random.Random(4)
+    alphabets = {"aa": "abcde", "bb": "fghij", "cc": "абвгд"}
+    rows = [(k, made_up(rng, letters), lang) for k, (lang, letters) in enumerate(list(alphabets.items()) * 40)]
+    rows += [(1000, None, "aa"), (1001, "12 !", "bb"), (None, "abc abd", "aa"), (1003, "abe ebd", None), (1004, "", "cc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = langid.learn(docs, size=50, sample=20)
+    got = {r["doc_id"]: r for r in langid.predict(docs, profiles).withColumn("held_out", langid.held_out(F.col("doc_id"))).collect()}
+    assert all(got[d]["lang_pred"] == lang for d, _, lang in rows[:-5])
+    assert all(got[d]["held_out"] == (crc32(str(d).encode()) % 3 == 1) for d, *_ in rows if d is not None)
+    assert [got[d]["lang_pred"] for d in (1000, 1001, None, 1003, 1004)] == ["und", "und", "aa", "aa", "und"]
+    assert len(got) == len(rows) and all(0 <= r["lang_score"] <= 1 for r in got.values())
+    assert langid.predict(docs, langid.learn(docs.limit(0))).where("lang_pred <> 'und'").isEmpty()
+    assert langid.predict(docs.limit(0), profiles).collect() == []
+
+
+def test_quality_separates_grades(spark):
+    rng = random.Random(6)
+    rows, labels = [], []
+    for k in range(400):
+        grade = k % 3
+        text = made_up(rng, "abcdefgh", 80)
+        text = text.upper().replace(" ", "!! ") if grade == 0 else text + " nasty" if grade == 1 else text
+        rows.append((k, text, 1))
+        labels.append((k, int(grade > 0), int(grade == 1)))
+    rows += [(None, "abc", 1), (900, None, 1), (901, "  ", 1), (0, rows[0][1], 1)]
+    labels += [(0, 1, 0), (None, 1, 0), (7, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, grade int")
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = quality.learn(docs, table, sample=300)
+    assert (np.diff(model.thresholds) > 0).all()
+    held = [r for r in quality.grade(docs, model).collect() if r["doc_id"] is not None and r["doc_id"] < 900 and crc32(str(r["doc_id"]).encode()) % 3 == 1]
+    right = [round(r["expected_grade"]) == r["doc_id"] % 3 for r in held]
+    assert sum(right) / len(right) > 0.95
+    assert all(r["accepted"] == (r["doc_id"] % 3 > 0) for r in held)
+    got = {r["doc_id"]: r for r in quality.grade(docs, model).collect()}
+    assert not got[900]["accepted"] and not got[901]["accepted"] and len(quality.grade(docs, model).columns) == 6
+    nothing = quality.learn(docs, table.limit(0))
+    assert quality.grade(docs.limit(0), nothing).collect() == [] and quality.grade(docs, nothing).where("accepted").count() == 402
+
+
+def plain_search(rows, k, scale, divisor):
+    taken = {}
+    for i, v in rows:
+        if i is None or v is None or any(x is None or not np.isfinite(x) for x in v):
+            continue
+        q = [int(np.floor(scale * x)) for x in v]
+        taken[i] = min(taken.get(i, q), q)
+    out = []
+    for i, v in taken.items():
+        if i % divisor == 0:
+            scores = sorted(((-sum(a * b for a, b in zip(v, w)), j) for j, w in taken.items() if j != i))[:k]
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores)]
+    return sorted(out)
+
+
+def test_search(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(int(i), [float(x) for x in rng.choice([0.0, 0.0, 0.5, -0.26, 0.11], 9)]) for i in range(150)]
+    rows += [(200, None), (None, [1.0]), (201, [float("nan")] * 9), (202, [None] * 9), (203, [float("inf")] * 9), (20, rows[20][1]), (40, [9.0, 1.0]), (220, []), (240, [3e4] * 9)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, score int")
+    expected = plain_search(rows, 7, 64, 20)
+    for block, queries in ((16_384, 1024), (40, 3)):
+        monkeypatch.setattr(topk, "BLOCK", block)
+        monkeypatch.setattr(topk, "QUERY_BLOCK", queries)
+        assert sorted(tuple(r) for r in topk.search(docs, k=7).collect()) == expected
+    assert topk.search(docs.limit(0)).collect() == []
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    rows = [(k, made_up(rng, "abcdefgh", 60), "aa", "s", 1) for k in range(120)]
+    rows += [(200, rows[3][1], "aa", "s", 1), (201, rows[3][1] + " tail", "aa", "s", 1), (202, None, "aa", "s", 0), (203, "!!! 12", None, "s", 6)]
+    rows += [(204, rows[5][1] + " password = abcdefghijklmnop", None, "s", 1), (205, made_up(rng, "abcdefgh", 60).upper().replace(" ", "!! "), "aa", "s", 1)]
+    labels = [(k, 1, 0) for k in range(120)] + [(k, 0, 0) for k in range(300, 340)]
+    rows += [(k, made_up(rng, "abcdefgh", 60).upper().replace(" ", "!! "), "aa", "s", 1) for k in range(300, 340)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns, ids = docs.columns, []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/stage-{k}")
+        docs = spark.read.parquet(f"{tmp_path}/stage-{k}")
+        ids.append({r["doc_id"] for r in docs.select("doc_id").collect()})
+        if k < 4:
+            assert docs.columns == columns
+    clean = set(range(120))
+    assert ids[0] == clean | {200, 201, 204, 205} | set(range(300, 340))
+    assert clean | {200, 201, 204} == ids[1]
+    assert ids[2] == clean and ids[3] == clean and ids[4] == clean
+    assert "password" not in " ".join(r["text"] for r in spark.read.parquet(f"{tmp_path}/stage-3").collect())
