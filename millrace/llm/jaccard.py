@@ -12,10 +12,18 @@ its empty parts as well; two such sets share at least one.)
 A signature that more than ``hot`` sets share isn't expanded.  A set with h hot
 signatures and h < need still meets each of its partners in a colder one, often
 need - h times, so pairs that meet less often are dropped.  What remains are the sets
-with h >= need: members of large groups of near copies.  They are first compared with
-the member of each hot signature that has most of them, which connects such a group;
-where hot signatures still span several components after that, the members that could
-still have partners there are compared across components.
+with h >= need: members of large groups of near copies.  Each hot signature has a head,
+the set that shares most signatures with others, and its other sets are compared with it.
+Take two sets x and y that link with each other and share a signature under head b, and let
+x lie outside b's component.  With D(x) the difference of x and b, |x ^ y| = |D(x) ^ D(y)|,
+so x and y must share elements of their differences: at least half of what |D(x)| is beyond
+a link with b, at least |D(x)| less the most differences of x with any partner, and of
+x's elements outside b at least num/den * |x| - |x & b|.  Differences of independent edits
+hardly meet, so an index of their elements finds the partners, unless elements that more
+than ``hot`` sets share could make up all that is needed.  One head of the many that a pair
+has in common suffices, so this matters only where it holds for at least half of the need
+of x; those sets are compared with all under such a head whose differences have a possible size
+and parity sketch.
 
 Only sets that differ are joined: documents with equal sets share an entity.  Links
 are verified on the full sets.  Components come from hashed-minimum label propagation
@@ -35,11 +43,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import shared_dir, slices, texts, written
+from millrace.llm.common import shared_dir, slices, texts, worker_cache, written
 
 #: Signatures that a task gathers before it hands them on.
-FLUSH = 2_000_000
+FLUSH = 500_000
+#: Sets that a task remembers to hand each on once.
+KNOWN = 1_000_000
 _LEVEL_BITS = 5
+PARITY_WORDS = 16
+_PARITY = [f"p{k}" for k in range(PARITY_WORDS)]
 
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
 _BASE = 0x9E3779B97F4A7C15
@@ -177,7 +189,7 @@ class _Gathered:
         self.docs.append((doc_id, e, len(found)))
         if e in self.known or not len(found):
             return
-        if len(self.known) >= FLUSH:
+        if len(self.known) >= KNOWN:
             self.known.clear()
         self.known.add(e)
         for _, need, own in signatures(found, self.num, self.den):
@@ -215,7 +227,7 @@ class _Gathered:
 # --- a bucket: which sets meet in it ------------------------------------------------------------------------
 
 #: kind 0: document x with entity y of size n.  1: sets x and y meet n times in a band; need_x, need_y.
-#: 2: set x has n hot signatures in a band; need_x.  3: set y holds hot signature x.
+#: 2: set x has n hot signatures in a band; need_x; need_y counts their holders.  3: set y holds hot signature x.
 _MET = "kind int, x long, y long, level int, n long, need_x long, need_y long"
 _MET_NAMES = [c.split()[0] for c in _MET.split(", ")]
 
@@ -257,12 +269,12 @@ def meet(signature: np.ndarray, who: np.ndarray, size: np.ndarray, need: np.ndar
         out.append(_met_table(1, who[a[at]], who[b[at]], level[at], counts, need[a[at]], need[b[at]]))
     is_hot = np.repeat(length > hot, length)
     if is_hot.any():
-        signature, who, need = signature[is_hot], who[is_hot], need[is_hot]
+        signature, who, need, holders = signature[is_hot], who[is_hot], need[is_hot], np.repeat(length, length)[is_hot]
         level = (signature & np.uint64((1 << _LEVEL_BITS) - 1)).astype(np.int64)
         order = np.lexsort((level, who))
-        w, v, d = who[order], level[order], need[order]
+        w, v, d, k = who[order], level[order], need[order], holders[order]
         head = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (v[1:] != v[:-1])]))
-        out.append(_met_table(2, w[head], 0, v[head], np.diff(np.append(head, len(w))), d[head], 0))
+        out.append(_met_table(2, w[head], 0, v[head], np.diff(np.append(head, len(w))), d[head], np.add.reduceat(k, head)))
         out.append(_met_table(3, signature.view(np.int64), who, level, 0, 0, need))
     return out
 
@@ -299,30 +311,29 @@ class Join:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         return written(self.spark, df, self.folder, name)
 
-    def run(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(doc_id, entity, n_shingles), (entity, component), (a, b) of verified links between entities."""
+    def run(self) -> tuple[DataFrame, DataFrame]:
+        """(doc_id, entity, n_shingles), (entity, component)."""
         met = self.keep(self.meetings(), "met")
         documents = met.where("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("entity"), F.col("n").alias("n_shingles"))
-        edges, members = self.candidates(met)
-        self.sets = self.keep(self.entity_sets(documents, edges), "sets")
+        pairs, led = self.candidates(met)
+        star = self.keep(led.where("entity <> head").select(F.col("head").alias("a"), F.col("entity").alias("b")).distinct(), "star")
+        self.sets = self.keep(self.entity_sets(documents, pairs.union(star)), "sets")
         # first each set with its least candidate, which joins most of a group; then what still lies apart
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        links = self.keep(self.verified(both.groupBy("a").agg(F.min("b").alias("b"))), "links-0")
-        labels = self.components(links, "labels-0")
-        for turn, found in enumerate((edges, None)):
-            if found is None:
-                found = self.across(members, labels)
-            left = self.keep(self.apart(found, labels), f"apart-{turn}")
-            if left.isEmpty():
-                continue
-            links = self.keep(links.union(self.verified(left)), f"links-{turn + 1}")
-            labels = self.components(links, f"labels-{turn + 1}")
-        return documents, labels, links
+        both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        compared = self.keep(self.compared(star), "compared")
+        links = self.verified(both.groupBy("a").agg(F.min("b").alias("b"))).union(compared.where("linked").select("a", "b"))
+        labels = self.components(links, None, "first")
+        labels = self.components(self.verified(self.keep(self.apart(pairs, labels), "apart")), labels, "second")
+        if not compared.isEmpty():
+            pairs = self.around(compared, labels, led)
+            labels = self.components(self.verified(self.keep(self.apart(pairs, labels), "across")), labels, "third")
+        return documents, labels
 
     def meetings(self) -> DataFrame:
         buckets, num, den, n, hot = self.buckets, self.num, self.den, self.shingle, self.hot
 
         def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            worker_cache("jaccard")
             gathered = _Gathered(buckets, num, den)
             for part in slices(batches):
                 sets = shingle_sets([t or "" for t in part.column("text").to_pylist()], n)
@@ -336,20 +347,19 @@ class Join:
         return dealt.groupBy("bucket").applyInArrow(lambda t: _bucket(t, hot, num, den), _MET)
 
     def candidates(self, met: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Candidate pairs (a, b), and (signature, entity, level, need) of the sets that hot signatures may hide."""
-        hot = met.where("kind = 2").groupBy(F.col("x").alias("entity"), "level").agg(F.sum("n").alias("h"), F.max("need_x").alias("need"))
-        hot = self.keep(hot, "hot")
+        """Candidate pairs (a, b), and (signature, entity, level, need, head) of the sets that hot signatures may hide."""
+        hot = met.where("kind = 2").groupBy(F.col("x").alias("entity"), "level")
+        hot = self.keep(hot.agg(F.sum("n").alias("h"), F.max("need_x").alias("need"), F.sum("need_y").alias("others")), "hot")
         pairs = met.where("kind = 1").groupBy("x", "y", "level").agg(F.sum("n").alias("n"), F.max("need_x").alias("need_x"), F.max("need_y").alias("need_y"))
         less = lambda name: hot.select(F.col("entity").alias(name), "level", F.col("h").alias(f"h_{name}"))
         pairs = pairs.join(less("x"), ["x", "level"], "left").join(less("y"), ["y", "level"], "left")
         enough = (F.col("n") >= F.col("need_x") - F.coalesce("h_x", F.lit(0))) & (F.col("n") >= F.col("need_y") - F.coalesce("h_y", F.lit(0)))
-        pairs = pairs.where(enough).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        heavy = hot.where("h >= need").select("entity", "level", "h")
-        members = met.where("kind = 3").select(F.col("x").alias("signature"), F.col("y").alias("entity"), "level", F.col("need_y").alias("need"))
+        pairs = pairs.where(enough).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        heavy = hot.where("h >= need").select("entity", "level", "need", (F.col("others") / F.col("need")).alias("rank"))
+        members = met.where("kind = 3").select(F.col("x").alias("signature"), F.col("y").alias("entity"), "level")
         members = self.keep(members.join(heavy, ["entity", "level"]), "members")
-        heads = self.keep(members.groupBy("signature").agg(F.max(F.struct("h", "entity"))["entity"].alias("head")), "heads")
-        star = members.join(heads, "signature").where("entity <> head").select(F.least("entity", "head").alias("a"), F.greatest("entity", "head").alias("b"))
-        return self.keep(pairs.union(star).distinct(), "edges"), members
+        heads = self.keep(members.groupBy("signature").agg(F.max(F.struct("rank", "entity"))["entity"].alias("head")), "heads")
+        return self.keep(pairs, "pairs"), self.keep(members.join(heads, "signature").drop("rank"), "led")
 
     def entity_sets(self, documents: DataFrame, edges: DataFrame) -> DataFrame:
         """(entity, found): the sets of the entities in candidate pairs, from one document of each."""
@@ -364,6 +374,12 @@ class Join:
 
         return self.docs.join(firsts, "doc_id").select("entity", "text").mapInArrow(make, "entity long, found binary")
 
+    def with_sets(self, edges: DataFrame) -> DataFrame:
+        """Pairs with their sets as left and right; b, which is met less often, is looked up first."""
+        left = self.sets.select(F.col("entity").alias("a"), F.col("found").alias("left"))
+        right = self.sets.select(F.col("entity").alias("b"), F.col("found").alias("right"))
+        return edges.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "left", "right")
+
     def verified(self, edges: DataFrame) -> DataFrame:
         """The pairs whose sets are similar enough."""
         num, den = self.num, self.den
@@ -372,58 +388,125 @@ class Join:
             for part in slices(batches, "left"):
                 keep = []
                 for x, y in zip(part.column("left").to_pylist(), part.column("right").to_pylist(), strict=True):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    both = np.concatenate([x, y])
-                    both.sort()
-                    common = int((both[1:] == both[:-1]).sum())
-                    keep.append(den * common >= num * (len(x) + len(y) - common))
+                    total = (len(x) + len(y)) // 8
+                    keep.append((den + num) * len(_difference(x, y)) <= (den - num) * total)
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        left = self.sets.select(F.col("entity").alias("a"), F.col("found").alias("left"))
-        right = self.sets.select(F.col("entity").alias("b"), F.col("found").alias("right"))
-        return edges.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(test, "a long, b long")
+        return self.with_sets(edges).mapInArrow(test, "a long, b long")
+
+    def compared(self, star: DataFrame) -> DataFrame:
+        """(a, b, linked, size, need, need_own, own, missing) for each pair with a head a; size: of b.  Behind them p0, p1, ...: the parity sketch of the difference.
+
+        own: elements of b that a lacks; missing: those of a that b lacks; need: how many of
+        either kind b shares with any partner if it isn't linked with a; need_own: of its own.
+        """
+        num, den = self.num, self.den
+        least = lambda beyond: -(-beyond // (2 * (den + num)))
 
-    def components(self, links: DataFrame, name: str) -> DataFrame:
-        """(entity, component): the least entity that links reach, for the entities that have any."""
+        def test(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches, "left"):
+                rows = []
+                for x, y in zip(part.column("left").to_pylist(), part.column("right").to_pylist(), strict=True):
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    own, missing = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
+                    d = len(own) + len(missing)
+                    beyond = (den + num) * d - (den - num) * (len(x) + len(y))
+                    widest = (len(y) + len(y) * den // num) * (den - num) // (den + num)
+                    need_own = -(-num * len(y) // den) - (len(y) - len(own))
+                    rows.append((beyond <= 0, len(y), max(1, least(beyond), d - widest), max(0, need_own), own.tobytes(), missing.tobytes(), *parity(own, missing)))
+                kinds = (pa.bool_(), *[pa.int64()] * 3, *[pa.binary()] * 2, *[pa.int64()] * PARITY_WORDS)
+                columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), *columns], ["a", "b", "linked", "size", "need", "need_own", "own", "missing", *_PARITY])
+
+        kinds = ", ".join(f"{p} long" for p in _PARITY)
+        return self.with_sets(star).mapInArrow(test, f"a long, b long, linked boolean, size long, need long, need_own long, own binary, missing binary, {kinds}")
+
+    def around(self, compared: DataFrame, labels: DataFrame, led: DataFrame) -> DataFrame:
+        """Candidate pairs among sets compared with the same heads, for those outside a head's component."""
+        names = ["a", "b", "of_b", "outside", "need", "need_own"]
+
+        def elements(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches, "own"):
+                for kind in ("own", "missing"):
+                    found = [np.frombuffer(d, np.int64) for d in part.column(kind).to_pylist()]
+                    row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+                    every = np.concatenate([np.empty(0, np.int64), *found])
+                    columns = [*(part.column(c).take(row) for c in names), pa.array(every), pa.array(np.full(len(every), kind == "own", np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, [*names, "element", "is_own"])
+
+        of = lambda name: labels.select(F.col("entity").alias(name), F.col("component").alias(f"of_{name}"))
+        placed = compared.join(of("b"), "b", "left").join(of("a"), "a", "left").withColumn("of_b", F.coalesce("of_b", "b"))
+        d = ((F.octet_length("own") + F.octet_length("missing")) / 8).cast("long")
+        placed = placed.select("a", "b", "of_b", (F.coalesce("of_a", "a") != F.col("of_b")).alias("outside"), "need", "need_own", "own", "missing", "size", d.alias("d"), *_PARITY)
+        placed = self.keep(placed, "placed")
+        useful = placed.join(self.keep(placed.where("outside").select("a").distinct(), "open"), "a")
+        every = useful.select(*names, "own", "missing").mapInArrow(elements, "a long, b long, of_b long, outside boolean, need long, need_own long, element long, is_own long")
+        every = self.keep(every, "elements")
+        sizes = every.groupBy("a", "element").agg(F.count("*").alias("k"), F.max("outside").alias("some"), (F.min("of_b") < F.max("of_b")).alias("spans"))
+        sizes = self.keep(sizes.where("some and spans").select("a", "element", "k"), "sizes")
+        every = self.keep(every.join(sizes, ["a", "element"]), "shared")
+        warm = every.where((F.col("k") > self.hot) & F.col("outside")).groupBy("a", "b")
+        warm = self.keep(warm.agg(F.count("*").alias("h"), F.sum("is_own").alias("h_own"), F.max("need").alias("need"), F.max("need_own").alias("need_own")), "warm")
+        cold = every.where(F.col("k") <= self.hot)
+        x = cold.where("outside").select("a", "element", "is_own", F.col("b").alias("x"), F.col("of_b").alias("of_x"), "need", "need_own")
+        y = cold.select("a", "element", F.col("b").alias("y"), F.col("of_b").alias("of_y"))
+        met = x.join(y, ["a", "element"]).where("of_x <> of_y").groupBy("a", "x", "y")
+        met = met.agg(F.count("*").alias("n"), F.sum("is_own").alias("n_own"), F.max("need").alias("need"), F.max("need_own").alias("need_own"))
+        met = met.join(warm.select("a", F.col("b").alias("x"), "h", "h_own"), ["a", "x"], "left").where("n >= need - coalesce(h, 0) and n_own >= need_own - coalesce(h_own, 0)")
+        # sets whose need hot elements may cover under heads that have half of their signatures
+        doubtful = self.keep(warm.where("h >= need and h_own >= need_own").select(F.col("a").alias("head"), F.col("b").alias("entity")), "doubtful")
+        unsettled = led.join(doubtful, ["head", "entity"]).groupBy("entity", "level").agg(F.count("*").alias("u"), F.max("need").alias("need"))
+        unsettled = self.keep(unsettled.where("2 * u >= need").select("entity").distinct(), "unsettled")
+        mine = doubtful.join(unsettled, "entity").select(F.col("head").alias("a"), F.col("entity").alias("b"))
+        x = self.keep(placed.join(mine, ["a", "b"]).select("a", F.col("b").alias("x"), F.col("of_b").alias("of_x"), F.col("size").alias("size_x"), F.col("d").alias("d_x"), *[F.col(p).alias(f"x{p}") for p in _PARITY]), "rest")
+        y = placed.select("a", F.col("b").alias("y"), F.col("of_b").alias("of_y"), F.col("size").alias("size_y"), F.col("d").alias("d_y"), *_PARITY)
+        num, den = self.num, self.den
+        apart = " + ".join(f"bit_count(x{p} ^ {p})" for p in _PARITY)  # at most |x ^ y|
+        near = f"least(size_x, size_y) * {den} >= greatest(size_x, size_y) * {num} and abs(d_x - d_y) * {den + num} <= (size_x + size_y) * {den - num} and ({apart}) * {den + num} <= (size_x + size_y) * {den - num}"
+        rest = x.join(y, "a").where(f"of_x <> of_y and {near}")
+        return self.keep(met.select("x", "y").union(rest.select("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "close")
+
+    def components(self, links: DataFrame, known: DataFrame | None, name: str) -> DataFrame:
+        """(entity, component): the least entity that links reach, for the entities that have any; known: of earlier links."""
+        links = self.keep(links, f"links-{name}")
+        if known is not None:
+            links = self.keep(self.apart(links, known), f"new-{name}")
+            if links.isEmpty():
+                return known
+            links = self.keep(links.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"), F.col("a").alias("x"), F.col("b").alias("y")), f"between-{name}")
         both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        labels = self.keep(both.groupBy(F.col("a").alias("entity")).agg(F.least(F.first("a"), F.min("b")).alias("component")), f"{name}-0")
-        turn = 0
-        while True:
+        labels = self.keep(both.groupBy(F.col("a").alias("entity")).agg(F.least(F.first("a"), F.min("b")).alias("component")), f"labels-{name}-0")
+        turn, going = 0, True
+        while going:
             turn += 1
             seen = both.join(labels.select(F.col("entity").alias("b"), "component"), "b").groupBy(F.col("a").alias("entity")).agg(F.min("component").alias("seen"))
-            near = self.keep(labels.join(seen, "entity").select("entity", F.least("component", "seen").alias("component"), F.col("component").alias("before")), f"{name}-{turn}-near")
+            near = self.keep(labels.join(seen, "entity").select("entity", F.least("component", "seen").alias("component"), F.col("component").alias("before")), f"labels-{name}-{turn}-near")
             up = near.select(F.col("entity").alias("component"), F.col("component").alias("top"))
-            labels = self.keep(near.join(up, "component").select("entity", F.col("top").alias("component"), "before"), f"{name}-{turn}")
-            if labels.where("component <> before").isEmpty():
-                return labels.select("entity", "component")
+            labels = self.keep(near.join(up, "component").select("entity", F.col("top").alias("component"), "before"), f"labels-{name}-{turn}")
+            going = not labels.where("component <> before").isEmpty()
+        labels = labels.select("entity", "component")
+        if known is None:
+            return labels
+        fresh = links.select("x").union(links.select("y")).distinct().toDF("entity").join(known, "entity", "left_anti").select("entity", F.col("entity").alias("component"))
+        to = labels.select(F.col("entity").alias("component"), F.col("component").alias("top"))
+        return self.keep(known.union(fresh).join(to, "component", "left").select("entity", F.coalesce("top", "component").alias("component")), f"labels-{name}")
 
     def apart(self, edges: DataFrame, labels: DataFrame) -> DataFrame:
         """The pairs that no component holds."""
         of = lambda name: labels.select(F.col("entity").alias(name), F.col("component").alias(f"of_{name}"))
         known = edges.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        return known.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+        return known.select("a", "b", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b")).where("of_a <> of_b")
 
-    def across(self, members: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs of heavy sets in different components that share as many hot signatures as either needs.
 
-        A set whose signatures that span components are fewer than its need has no partner left;
-        taking such sets away shrinks the signatures, until nothing changes.
-        """
-        left = members.select("signature", "entity", "level", "need").join(labels, "entity", "left").withColumn("component", F.coalesce("component", "entity"))
-        left, rows, turn = self.keep(left, "across-0"), -1, 0
-        while True:
-            now = left.count()
-            if now in (0, rows):
-                break
-            rows, turn = now, turn + 1
-            spans = left.groupBy("signature").agg((F.min("component") < F.max("component")).alias("spans")).where("spans").select("signature")
-            wide = self.keep(left.join(self.keep(spans, f"spans-{turn}"), "signature"), f"wide-{turn}")
-            able = self.keep(wide.groupBy("entity", "level").agg(F.count("*").alias("k"), F.max("need").alias("need")).where("k >= need").select("entity", "level"), f"able-{turn}")
-            left = self.keep(wide.join(able, ["entity", "level"]), f"across-{turn}")
-        x = left.select("signature", "level", F.col("entity").alias("a"), F.col("component").alias("of_a"), F.col("need").alias("need_a"))
-        y = left.select("signature", F.col("entity").alias("b"), F.col("component").alias("of_b"), F.col("need").alias("need_b"))
-        met = x.join(y, "signature").where("a < b and of_a <> of_b").groupBy("a", "b", "level")
-        return met.agg(F.count("*").alias("k"), F.max(F.greatest("need_a", "need_b")).alias("need")).where("k >= need").select("a", "b").distinct()
+def parity(*parts: np.ndarray) -> list[int]:
+    """For each hash value modulo the sketch's bits, whether an odd number of elements has it; no two sets' sketches differ in more bits than the sets in elements."""
+    odd = np.bincount(np.concatenate(parts).astype(np.uint64) % np.uint64(64 * PARITY_WORDS), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+def _difference(x: bytes, y: bytes) -> np.ndarray:
+    """The elements in one of two sets only."""
+    return np.setxor1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)
 
 
 def components(docs: DataFrame, num: int = 75, den: int = 100, shingle: int = 5, hot: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -435,7 +518,7 @@ def components(docs: DataFrame, num: int = 75, den: int = 100, shingle: int = 5,
     counts, once; an empty table gives an empty one; whole texts are read; other columns are not.
     """
     join = Join(_rows(docs, id_col, text_col), num, den, shingle, hot)
-    documents, labels, _ = join.run()
+    documents, labels = join.run()
     return _named(join, documents, labels)
 
 
