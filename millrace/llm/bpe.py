@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from millrace.llm.chunks import ChunkTable
-from millrace.llm.common import slices, texts
+from millrace.llm.common import slices, texts, worker_cache
 
 #: Pairs whose compatibility one worker remembers.
 PAIR_MEMO = 1_000_000
@@ -151,9 +151,6 @@ def encoder(vocabulary: Vocabulary, pattern: str, limit: int = 400_000) -> Chunk
     return ChunkTable(chunk_ids, limit)
 
 
-_encoders: dict[str, ChunkTable] = {}
-
-
 def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids binary, decoded binary) for every row; ids are little-endian unsigned 32-bit integers.
 
@@ -165,9 +162,7 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col
     key = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _encoders:
-            _encoders[key] = encoder(shared.value, pattern)
-        table, token = _encoders[key], shared.value.token.__getitem__
+        table, token = worker_cache(f"bpe {key}", lambda: encoder(shared.value, pattern)), shared.value.token.__getitem__
         for part in slices(batches):
             ids = [table.joined(t or "") for t in part.column("text").to_pylist()]
             decoded = [b"".join(map(token, np.frombuffer(i, "<u4").tolist())) for i in ids]

@@ -16,6 +16,8 @@ import struct
 import unicodedata
 from collections.abc import Callable
 
+from millrace.llm.common import worker_cache
+
 #: A space that may be cut at.  Python's \s holds every white space of Unicode.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -134,11 +136,6 @@ def tokenizer_table(path: str, limit: int = 600_000) -> ChunkTable:
     return ChunkTable(encode, limit)
 
 
-_tables: dict[str, ChunkTable] = {}
-
-
 def worker_table(path: str) -> ChunkTable:
     """The table of this Python worker: it lives across the worker's tasks."""
-    if path not in _tables:
-        _tables[path] = tokenizer_table(path)
-    return _tables[path]
+    return worker_cache(f"chunks {path}", lambda: tokenizer_table(path))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 #: Rows and bytes of text that an operator holds as Python objects at once.
 SLICE_ROWS = 2000
 SLICE_BYTES = 8 << 20
@@ -34,6 +37,22 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[
             at += rows
 
 
+_held: dict[str, object] = {}
+
+
+def worker_cache(name: str, make: Callable[[], T] | None = None) -> T | None:
+    """What this Python worker keeps between its tasks under a name.
+
+    A worker serves one operator after another and holds only the last one's cache:
+    asking under another name drops it.
+    """
+    if name not in _held:
+        _held.clear()
+        if make is not None:
+            _held[name] = make()
+    return _held.get(name)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which every executor reaches.
 

@@ -25,7 +25,7 @@ from math import log2
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import slices, texts
+from millrace.llm.common import slices, texts, worker_cache
 
 #: The base patterns, with the letters of the names in either case.
 _NAMES = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in name) for name in ("password", "passwd", "secret", "token", "api_?key"))
@@ -150,6 +150,7 @@ def redact(docs: DataFrame, reach: int = 400, mark: str = "[secret]", text_col:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):
+            worker_cache("credentials")
             columns = dict(zip(part.schema.names, part.columns, strict=True))
             old = columns[text_col].to_pylist()
             new = [t and _masked(t, scan_text(t, reach), mark) for t in old]

@@ -16,18 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from millrace.llm.common import shared_dir, slices, written
+from millrace.llm.common import shared_dir, slices, worker_cache, written
 
 UNDETERMINED = "und"
 _BITS = 21  # of a code point; three of them fit into 63 bits
 
-_letters: list[np.ndarray] = []
-
-
 def _letter_table() -> np.ndarray:
-    if not _letters:
-        _letters.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
-    return _letters[0]
+    return worker_cache("letters", lambda: np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
 
 
 def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:

@@ -22,29 +22,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from millrace.llm.common import slices
+from millrace.llm.common import slices, worker_cache
 from millrace.llm.langid import held_out
 
 BITS = 18
 _RUNS = re.compile(r"(.)\1+")
 _CACHE = 300_000
-_tokens: dict[str, tuple[int, str]] = {}
 
 #: Grades from low to high.
 LOW, FAIR, GOOD = 0, 1, 2
 
 
-def _token(token: str) -> tuple[int, str]:
+def _token(token: str, known: dict[str, tuple[int, str]]) -> tuple[int, str]:
     """The hash bucket of a token's word and the token's shape."""
-    found = _tokens.get(token)
+    found = known.get(token)
     if found is None:
-        if len(_tokens) >= _CACHE:
-            _tokens.clear()
+        if len(known) >= _CACHE:
+            known.clear()
         word = "".join(c for c in token.lower() if c.isalnum())
         shape = "".join("X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c for c in token[:64])
         found = crc32(b"w" + word.encode()) & ((1 << BITS) - 1), _RUNS.sub(r"\1", shape)
         if len(token) <= 64:
-            _tokens[token] = found
+            known[token] = found
     return found
 
 
@@ -54,8 +53,9 @@ def features(text: str) -> np.ndarray:
     if not tokens:
         return np.empty(0, np.int64)
     buckets, shapes = set(), Counter()
+    known = worker_cache("quality", dict)
     for token, n in Counter(tokens).items():
-        bucket, shape = _token(token)
+        bucket, shape = _token(token, known)
         buckets.add(bucket)
         shapes[shape] += n
     again = sum(map(str.__eq__, tokens, tokens[1:]))
