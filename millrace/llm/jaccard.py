@@ -50,6 +50,10 @@ FLUSH = 500_000
 #: Sets that a task remembers to hand each on once.
 KNOWN = 1_000_000
 _LEVEL_BITS = 5
+#: Bits of a signature, its level included.  A chance collision only makes a candidate more.
+SIGNATURE_BITS = 48
+#: A larger need is handed on as this, which only keeps candidates more.
+MOST_NEED = (1 << 15) - 1
 PARITY_WORDS = 16
 _PARITY = [f"p{k}" for k in range(PARITY_WORDS)]
 
@@ -161,14 +165,25 @@ def signatures(found: np.ndarray, num: int, den: int) -> list[tuple[int, int, np
             own = np.concatenate([own, (empty + 1).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)])
             need = 1
         own = mix(own + np.uint64(level * 0x8EBC6AF09C88C6E3 & (1 << 64) - 1))
-        out.append((level, need, own >> np.uint64(_LEVEL_BITS) << np.uint64(_LEVEL_BITS) | np.uint64(level)))
+        out.append((level, need, own >> np.uint64(64 - SIGNATURE_BITS + _LEVEL_BITS) << np.uint64(_LEVEL_BITS) | np.uint64(level)))
     return out
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Signatures in six bytes each."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : SIGNATURE_BITS // 8]).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) * 8 // SIGNATURE_BITS, 8), np.uint8)
+    out[:, : SIGNATURE_BITS // 8] = np.frombuffer(data, np.uint8).reshape(len(out), -1)
+    return out.reshape(-1).view("<u8").astype(np.uint64)
+
+
 # --- one pass over the texts: documents and signatures, dealt into buckets ---------------------------------
 
-_DEALT = "bucket int, docs binary, entities binary, sizes binary, needs binary, counts binary, signatures binary"
-_DEALT_TYPES = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("docs", "entities", "sizes", "needs", "counts", "signatures")]])
+_DEALT = "bucket int, docs binary, entities binary, marks binary, counts binary, signatures binary"
+_DEALT_TYPES = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("docs", "entities", "marks", "counts", "signatures")]])
 
 
 class _Gathered:
@@ -182,7 +197,7 @@ class _Gathered:
 
     def clear(self) -> None:
         self.docs, self.held = [], 0
-        self.entities, self.sizes, self.needs, self.counts, self.parts = [], [], [], [], []
+        self.entities, self.marks, self.counts, self.parts = [], [], [], []
 
     def add(self, doc_id: int, found: np.ndarray) -> None:
         e = entity(found) if len(found) else -1
@@ -192,10 +207,9 @@ class _Gathered:
         if len(self.known) >= KNOWN:
             self.known.clear()
         self.known.add(e)
-        for _, need, own in signatures(found, self.num, self.den):
+        for level, need, own in signatures(found, self.num, self.den):
             self.entities.append(e)
-            self.sizes.append(len(found))
-            self.needs.append(need)
+            self.marks.append(min(need, MOST_NEED) << 1 | (level == len(found).bit_length()))
             self.counts.append(len(own))
             self.parts.append(own)
             self.held += len(own)
@@ -205,20 +219,20 @@ class _Gathered:
         rows = []
         self.turn = (self.turn + 1) % self.buckets
         d = np.array(self.docs, np.int64).reshape(-1, 3)
-        rows.append((self.turn, *(np.ascontiguousarray(d[:, k]).tobytes() for k in range(3)), b"", b"", b""))
+        rows.append((self.turn, *(np.ascontiguousarray(d[:, k]).tobytes() for k in range(3)), b"", b""))
         if self.parts:
             every = np.concatenate(self.parts)
             of = np.repeat(np.arange(len(self.counts)), self.counts)
-            bucket = ((every >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
+            bucket = ((every >> np.uint64(SIGNATURE_BITS - 32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             every, of, bucket = every[order], of[order], bucket[order]
-            entities, sizes, needs = np.array(self.entities, np.int64), np.array(self.sizes, np.int64), np.array(self.needs, np.int64)
+            entities, marks = np.array(self.entities, np.int64), np.array(self.marks, np.uint16)
             edges = np.searchsorted(bucket, np.arange(self.buckets + 1))
             for b in range(self.buckets):
                 a, z = edges[b], edges[b + 1]
                 if a < z:
                     held, counts = np.unique(of[a:z], return_counts=True)
-                    rows.append((b, b"", *(x.tobytes() for x in (entities[held], sizes[held], needs[held], counts.astype(np.int64), every[a:z]))))
+                    rows.append((b, b"", *(x.tobytes() for x in (entities[held], marks[held], counts.astype(np.uint32))), packed(every[a:z])))
         for k in range(0, len(rows), 64):
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[k : k + 64]], f.type) for c, f in enumerate(_DEALT_TYPES)], schema=_DEALT_TYPES)
         self.clear()
@@ -239,13 +253,13 @@ def _met_table(kind: int, x, y, level, n, need_x, need_y) -> pa.Table:
     return pa.table([pa.array(c) for c in columns], names=_MET_NAMES)
 
 
-def meet(signature: np.ndarray, who: np.ndarray, size: np.ndarray, need: np.ndarray, hot: int, num: int, den: int) -> list[pa.Table]:
+def meet(signature: np.ndarray, who: np.ndarray, mark: np.ndarray, hot: int) -> list[pa.Table]:
     """Pairs of sets that share signatures, hot counts and hot members; one row a set and signature comes in."""
     order = np.lexsort((who, signature))
-    signature, who, size, need = signature[order], who[order], size[order], need[order]
+    signature, who, need, inside = signature[order], who[order], mark[order].astype(np.int64) >> 1, mark[order] & 1 == 1
     again = np.zeros(len(signature), bool)
     again[1:] = (signature[1:] == signature[:-1]) & (who[1:] == who[:-1])
-    signature, who, size, need = signature[~again], who[~again], size[~again], need[~again]
+    signature, who, need, inside = signature[~again], who[~again], need[~again], inside[~again]
     first = np.flatnonzero(np.concatenate([[True], signature[1:] != signature[:-1]])) if len(signature) else np.empty(0, np.int64)
     length = np.diff(np.append(first, len(signature)))
     out = []
@@ -259,9 +273,7 @@ def meet(signature: np.ndarray, who: np.ndarray, size: np.ndarray, need: np.ndar
     if left:
         a, b = np.concatenate(left), np.concatenate(right)
         level = (signature[a] & np.uint64((1 << _LEVEL_BITS) - 1)).astype(np.int64)
-        larger, smaller = np.maximum(size[a], size[b]), np.minimum(size[a], size[b])
-        # the pair belongs to the band of its larger set
-        fit = (larger * num <= smaller * den) & (larger >> (level - 1) == 1)
+        fit = inside[a] | inside[b]  # the pair belongs to the band of its larger set
         a, b, level = a[fit], b[fit], level[fit]
         names, index = np.unique(who, return_inverse=True)
         key = (index[a] * len(names) + index[b]) * 64 + level
@@ -279,20 +291,20 @@ def meet(signature: np.ndarray, who: np.ndarray, size: np.ndarray, need: np.ndar
     return out
 
 
-def _bucket(table: pa.Table, hot: int, num: int, den: int) -> pa.Table:
-    read = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.int64)
+def _bucket(table: pa.Table, hot: int) -> pa.Table:
+    read = lambda c, kind=np.int64: np.frombuffer(b"".join(c.to_pylist()), kind)
     of_docs = pc.equal(table.column("signatures"), b"")
     docs, rest = table.filter(of_docs), table.filter(pc.invert(of_docs))
-    out = [_met_table(0, read(docs.column("docs")), read(docs.column("entities")), 0, read(docs.column("sizes")), 0, 0)]
+    out = [_met_table(0, read(docs.column("docs")), read(docs.column("entities")), 0, read(docs.column("marks")), 0, 0)]
     if rest.num_rows:
-        counts = read(rest.column("counts"))
-        signature = read(rest.column("signatures")).view(np.uint64)
+        counts = read(rest.column("counts"), np.uint32)
+        signature = unpacked(b"".join(rest.column("signatures").to_pylist()))
         order = np.argsort(signature, kind="stable")
         ordered = signature[order]
         same = ordered[1:] == ordered[:-1]
         shared = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
         row = np.repeat(np.arange(len(counts)), counts)[shared]
-        out += meet(signature[shared], read(rest.column("entities"))[row], read(rest.column("sizes"))[row], read(rest.column("needs"))[row], hot, num, den)
+        out += meet(signature[shared], read(rest.column("entities"))[row], read(rest.column("marks"), np.uint16)[row], hot)
     return pa.concat_tables(out)
 
 
@@ -306,7 +318,7 @@ class Join:
         self.spark: SparkSession = docs.sparkSession
         self.docs, self.num, self.den, self.shingle, self.hot = docs, num, den, shingle, hot
         self.folder = shared_dir(self.spark)
-        self.buckets = 2 * int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         return written(self.spark, df, self.folder, name)
@@ -344,7 +356,7 @@ class Join:
             yield from gathered.batches()
 
         dealt = self.docs.mapInArrow(deal, _DEALT)
-        return dealt.groupBy("bucket").applyInArrow(lambda t: _bucket(t, hot, num, den), _MET)
+        return dealt.groupBy("bucket").applyInArrow(lambda t: _bucket(t, hot), _MET)
 
     def candidates(self, met: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Candidate pairs (a, b), and (signature, entity, level, need, head) of the sets that hot signatures may hide."""
@@ -372,7 +384,8 @@ class Join:
                 sets = shingle_sets([t or "" for t in part.column("text").to_pylist()], n)
                 yield pa.RecordBatch.from_arrays([part.column("entity"), pa.array([s.tobytes() for s in sets], pa.binary())], ["entity", "found"])
 
-        return self.docs.join(firsts, "doc_id").select("entity", "text").mapInArrow(make, "entity long, found binary")
+        # planned alike at every size: the wanted ids grow with the documents
+        return self.docs.join(firsts.hint("merge"), "doc_id").select("entity", "text").mapInArrow(make, "entity long, found binary")
 
     def with_sets(self, edges: DataFrame) -> DataFrame:
         """Pairs with their sets as left and right; b, which is met less often, is looked up first."""
