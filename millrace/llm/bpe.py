@@ -12,19 +12,20 @@ tried once for each token.  The result is the one that merging by rank gives.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm.chunks import ChunkTable
+from millrace.llm.chunks import ChunkTable, latin_1_pattern
 from millrace.llm.common import slices, texts, worker_cache
 
 #: Pairs whose compatibility one worker remembers.
-PAIR_MEMO = 1_000_000
+PAIR_MEMO = 200_000
 
 
 class Vocabulary:
@@ -37,6 +38,7 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.rank = {token.decode("latin-1"): rank for token, rank in ranks.items()}
         self.token = dict(zip(self.rank.values(), ranks, strict=True))
+        self.size = {rank: len(token) for rank, token in self.token.items()}
         self.automaton = ahocorasick.Automaton()
         for token, rank in self.rank.items():
             self.automaton.add_word(token, (len(token), rank))
@@ -92,6 +94,7 @@ class Vocabulary:
 
     def encode(self, piece: bytes) -> list[int]:
         """ids of one piece."""
+        shorter, sizes, compatible = self.shorter, self.size, self.compatible
         text = piece.decode("latin-1")
         if not text:
             return []
@@ -112,17 +115,17 @@ class Vocabulary:
         while following is not None:
             now, before = following, out[-1] if out else None
             while True:
-                to = at + len(self.token[now])
-                if alive[to] and (before is None or self.compatible(before, now)):
+                to = at + sizes[now]
+                if alive[to] and (before is None or compatible(before, now)):
                     out.append(now)
                     at, following = to, longest[to] if to < n else None
                     break
-                if (less := self.shorter[now]) is not None:
+                if (less := shorter[now]) is not None:
                     now = less
                     continue
                 alive[at] = 0
                 out.pop()
-                at, following = at - len(self.token[before]), before
+                at, following = at - sizes[before], before
                 break
         return out
 
@@ -132,16 +135,22 @@ def encoder(vocabulary: Vocabulary, pattern: str, limit: int = 400_000) -> Chunk
     import regex
 
     find, encode = regex.compile(pattern).findall, vocabulary.encode
+    try:
+        plain = re.compile(latin_1_pattern(pattern)).findall
+    except re.error:
+        plain = find
     pieces: dict[str, bytes] = {}
 
     def chunk_ids(chunk: str) -> bytes:
+        core = chunk[1:] if chunk[:1] in (" ", "\n") else chunk
+        simple = core.isprintable() and (core.isascii() or max(core) < "Ā")
         out = []
-        for piece in find(chunk):
+        for piece in (plain if simple else find)(chunk):
             value = pieces.get(piece)
             if value is None:
                 ids = encode(piece.encode())
                 value = struct.pack(f"<{len(ids)}I", *ids)
-                if len(pieces) >= limit:
+                if len(pieces) >= limit // 2:
                     pieces.clear()
                 if len(piece) <= 64:
                     pieces[piece] = value
@@ -151,9 +160,19 @@ def encoder(vocabulary: Vocabulary, pattern: str, limit: int = 400_000) -> Chunk
     return ChunkTable(chunk_ids, limit)
 
 
-def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(
+    docs: DataFrame,
+    ranks: dict[bytes, int],
+    pattern: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None,
+    schema: str = "doc_id long, ids binary, decoded binary",
+) -> DataFrame:
     """(doc_id, ids binary, decoded binary) for every row; ids are little-endian unsigned 32-bit integers.
 
+    then: makes something else of each batch where it arises, such as ``digests``; ``schema`` describes that.
+
     A null text counts as empty and has no ids; repeated rows and null doc_ids are
     kept as they are; an empty table gives an empty one; other columns are not read.
     The vocabulary is broadcast: its size is that of the vocabulary file.
@@ -166,28 +185,26 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col
         for part in slices(batches):
             ids = [table.joined(t or "") for t in part.column("text").to_pylist()]
             decoded = [b"".join(map(token, np.frombuffer(i, "<u4").tolist())) for i in ids]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
+            batch = pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
+            yield then(batch) if then else batch
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return texts(docs, id_col, text_col).mapInArrow(run, schema)
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """Digest columns of encode_decode()'s rows: (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[int, str] = {}
-        for batch in batches:
-            counts, ids_hash, text_hash = [], [], []
-            for ids, decoded in zip(batch.column("ids").to_pylist(), batch.column("decoded").to_pylist(), strict=True):
-                numbers = np.frombuffer(ids, "<u4").tolist()
-                for n in set(numbers).difference(names):
-                    names[n] = str(n)
-                counts.append(len(numbers))
-                ids_hash.append(hashlib.sha256(" ".join(map(names.__getitem__, numbers)).encode()).hexdigest())
-                text_hash.append(hashlib.sha256(decoded).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+def digests(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Digest columns of a batch of encode_decode() (see DIGESTS)."""
+    counts, ids_hash, text_hash, names = [], [], [], {}
+    for ids, decoded in zip(batch.column("ids").to_pylist(), batch.column("decoded").to_pylist(), strict=True):
+        numbers = np.frombuffer(ids, "<u4").tolist()
+        names.update((n, str(n)) for n in set(numbers).difference(names))
+        counts.append(len(numbers))
+        ids_hash.append(hashlib.sha256(" ".join(map(names.__getitem__, numbers)).encode()).hexdigest())
+        text_hash.append(hashlib.sha256(decoded).hexdigest())
+    columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

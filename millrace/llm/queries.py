@@ -51,8 +51,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all documents' ids and of the bytes decoded from them."""
-    encoded = bpe.encode_decode(table(spark, sf_dir, "documents"), bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
-    return bpe.digests(encoded)
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, then=bpe.digests, schema=bpe.DIGESTS)
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,7 +103,7 @@ def test_encode_decode(spark, docs, ranks):
     texts = sorted((r["text"] or "" for r in docs.collect()))
     assert sorted(bytes(r["decoded"]).decode() for r in rows) == texts
     reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    for r in bpe.digests(bpe.encode_decode(docs.where("doc_id = 16"), ranks, public_tokenizers.PATTERN)).collect():
+    for r in bpe.encode_decode(docs.where("doc_id = 16"), ranks, public_tokenizers.PATTERN, then=bpe.digests, schema=bpe.DIGESTS).collect():
         ids = reference.encode_ordinary(HARD[16])
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
     assert bpe.encode_decode(docs.limit(0), ranks, public_tokenizers.PATTERN).collect() == []
