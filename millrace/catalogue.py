@@ -236,7 +236,7 @@ def _keyed(spark: SparkSession, sf_dir: str, columns: str, key: str) -> Session:
 def _upserted(spark: SparkSession, sf_dir: str, turns: int = 4) -> Session:
     """Orders by customer, put in by several statements of rising order keys; the newest wins."""
     session = _keyed(spark, sf_dir, _ORDERS, "o_custkey")
-    orders = session.attached["orders"]
+    orders = session.rows("orders")
     most = orders.agg(F.max("o_orderkey")).first()[0] + 1
     for k in range(turns):
         part = orders.where((F.col("o_orderkey") >= k * most // turns) & (F.col("o_orderkey") < (k + 1) * most // turns))
@@ -316,7 +316,7 @@ def upsert_natural_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 def zip_from(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nation and region row by row, nulls where region has ended."""
     s = _session(spark, sf_dir)
-    return zip_rows((s.attached["nation"], ["n_nationkey"]), (s.attached["region"], ["r_regionkey"])).select("n_nationkey", "n_name", "r_regionkey", "r_name")
+    return zip_rows((s.rows("nation"), ["n_nationkey"]), (s.rows("region"), ["r_regionkey"])).select("n_nationkey", "n_name", "r_regionkey", "r_name")
 
 
 def values_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:

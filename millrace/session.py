@@ -27,7 +27,7 @@ class Session:
         self.spark = spark
         self.root = Files(root) if root else None
         self.database: str | None = None
-        self.attached: dict[str, DataFrame] = {}
+        self.attached: dict[str, DataFrame | str] = {}
         self._open: dict[tuple[str, str], KeyedTable] = {}
 
     def attach(self, name: str, rows: DataFrame) -> Session:
@@ -36,10 +36,17 @@ class Session:
         return self
 
     def attach_parquet(self, folder: str, *names: str) -> Session:
-        for name in names:
-            self.attach(name, self.spark.read.parquet(f"{folder}/{name}.parquet"))
+        """Attach Parquet tables of a folder; a file is opened when a statement first names its table."""
+        self.attached |= {name: f"{folder}/{name}.parquet" for name in names}
         return self
 
+    def rows(self, name: str) -> DataFrame:
+        """An attached table."""
+        found = self.attached[name]
+        if isinstance(found, str):
+            found = self.attached[name] = self.spark.read.parquet(found)
+        return found
+
     # --- statements ---
 
     def sql(self, text: str, ordered: bool = False) -> DataFrame | None:
@@ -88,7 +95,7 @@ class Session:
 
     def _source(self, name: str) -> Source:
         if name in self.attached:
-            return Source(name, self.attached[name])
+            return Source(name, self.rows(name))
         table = self.table(name)
         return Source(name, table.read(), table.manifest.key)
 
