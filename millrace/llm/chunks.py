@@ -136,6 +136,6 @@ def tokenizer_table(path: str, limit: int = 600_000) -> ChunkTable:
     return ChunkTable(encode, limit)
 
 
-def worker_table(path: str) -> ChunkTable:
+def worker_table(path: str, limit: int = 600_000) -> ChunkTable:
     """The table of this Python worker: it lives across the worker's tasks."""
-    return worker_cache(f"chunks {path}", lambda: tokenizer_table(path))
+    return worker_cache(f"chunks {path} {limit}", lambda: tokenizer_table(path, limit))

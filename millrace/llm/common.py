@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import TypeVar
@@ -44,13 +46,22 @@ def worker_cache(name: str, make: Callable[[], T] | None = None) -> T | None:
     """What this Python worker keeps between its tasks under a name.
 
     A worker serves one operator after another and holds only the last one's cache:
-    asking under another name drops it.
+    asking under another name drops it and hands its memory back to the system.
     """
     if name not in _held:
         _held.clear()
-        if make is not None:
-            _held[name] = make()
-    return _held.get(name)
+        _release()
+        _held[name] = make() if make is not None else None
+    return _held[name]
+
+
+def _release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library than glibc
+        pass
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -76,12 +76,14 @@ def pack(
     linear: float = 1.0,
     quadratic: float = 1 / 4096,
     group_tokens: int = 1 << 20,
+    table_entries: int = 600_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """Pack all documents, each with ``end_id`` behind its ids; a row for each piece (see PIECES).
 
-    tokenizer: path of a tokenizers file.  ids are little-endian unsigned 32-bit integers.
+    tokenizer: path of a tokenizers file.  table_entries: chunks whose ids a worker keeps, in each
+    of two generations; fewer take less memory and more time, the result is the same.  ids are little-endian unsigned 32-bit integers.
     A null text counts as empty: its document is the end id alone.  Repeated rows and
     null doc_ids are packed like any other; an empty table gives no piece; a text of
     any length is cut into pieces; other columns are not read.  Sequences are numbered
@@ -89,7 +91,7 @@ def pack(
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = worker_table(tokenizer).joined
+        encode = worker_table(tokenizer, table_entries).joined
         end = np.array([end_id], "<u4").tobytes()
         following = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         keys: list[int | None] = []
