@@ -24,8 +24,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are more likely than not above the lowest grade."""
-    return quality.grade(docs, quality.learn(docs, table(spark, sf_dir, "labels"))).where("accepted").select(docs.columns)
+    """Documents that are more likely than not of the best grade: neither of low quality nor toxic."""
+    return quality.grade(docs, quality.learn(docs, table(spark, sf_dir, "labels")), tail_from=quality.GOOD).where("accepted").select(docs.columns)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,11 @@ shapes of its tokens with their share of the text on a log scale, and how often
 token follows itself.  All grades share one weight for each feature; ordered
 thresholds separate them: P(grade >= j) = logistic(w.x - threshold_j).  The
 expected grade and the tail probabilities follow.
+
+Weights add up, so words that each settle a grade, as insults do, can't all get the
+weight that one of them deserves.  The fit therefore finds the marks of each
+threshold, features that hardly a document from that grade on holds, and gives one
+more feature to the documents that hold any of them.
 """
 
 from __future__ import annotations
@@ -25,13 +30,19 @@ from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 from millrace.llm.common import slices, worker_cache
 from millrace.llm.langid import held_out
 
-BITS = 18
+BITS = 22
 _RUNS = re.compile(r"(.)\1+")
 _CACHE = 300_000
 
 #: Grades from low to high.
 LOW, FAIR, GOOD = 0, 1, 2
 
+#: A feature is a mark if it is so many standard deviations rarer from a grade on than
+#: among all documents, and that grade's share of its documents is at most MARK_SHARE.
+MARK_DEVIATIONS, MARK_SHARE = 6, 0.05
+#: Standard deviations from which a feature's score against thresholds alone tells something.
+LEAST_SCORE = 4
+
 
 def _token(token: str, known: dict[str, tuple[int, str]]) -> tuple[int, str]:
     """The hash bucket of a token's word and the token's shape."""
@@ -65,38 +76,64 @@ def features(text: str) -> np.ndarray:
     return np.array(sorted(buckets), np.int64)
 
 
+def _held(found: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Which of ``asked`` are among the sorted ``found``."""
+    if not len(found):
+        return np.zeros(len(asked), bool)
+    return found[np.minimum(np.searchsorted(found, asked), len(found) - 1)] == asked
+
+
+def _with_marks(found: np.ndarray, marks: list[np.ndarray]) -> np.ndarray:
+    """``found`` and a bucket behind all others for each threshold of whose marks it holds any."""
+    return np.concatenate([found, [(1 << BITS) + j for j, asked in enumerate(marks) if _held(found, asked).any()]]).astype(np.int64)
+
+
 @dataclass
 class Model:
+    buckets: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
+    marks: list[np.ndarray]
 
     def tails(self, found: np.ndarray) -> np.ndarray:
         """P(grade >= 1), P(grade >= 2), ...; zeros for a document without features."""
         if not len(found):
             return np.zeros(len(self.thresholds))
-        return 1 / (1 + np.exp(-np.clip(self.weights[found].sum() - self.thresholds, -50, 50)))
+        weight = self.weights[_held(_with_marks(found, self.marks), self.buckets)].sum()
+        return 1 / (1 + np.exp(-np.clip(weight - self.thresholds, -50, 50)))
 
 
-def fit(documents: list[np.ndarray], grades: np.ndarray, n_grades: int = 3, least: int = 5, penalty: float = 1e-4, sparse: float = 4e-3, rounds: int = 400, rate: float = 0.05) -> Model:
+def fit(documents: list[np.ndarray], grades: np.ndarray, n_grades: int = 3, least: int = 5, penalty: float = 1e-4, sparse: float = 1e-3, rounds: int = 400, rate: float = 0.05) -> Model:
     """Maximum likelihood with a quadratic and an absolute penalty, by full-batch Adam steps.
 
     The absolute penalty (``sparse``) drives the weights of words that tell nothing to zero.
 
-    Features of fewer than ``least`` documents get no weight.  Thresholds stay ordered:
-    the first is free, the others are sums of positive steps.
+    Features of fewer than ``least`` documents get no weight, nor do those, marks aside,
+    whose score tells nothing: the steps move rare features as fast as frequent ones, and
+    thousands of rare ones would explain the grades before the frequent ones could.
+    Thresholds stay ordered: the first is free, the others are sums of positive steps.
     """
-    weights = np.zeros(1 << BITS)
     share = [min(max((grades >= j).mean() if len(grades) else 1.0, 1e-3), 1 - 1e-3) for j in range(1, n_grades)]
     start = np.maximum.accumulate([-np.log(s / (1 - s)) for s in share] + 1e-3 * np.arange(n_grades - 1))
     if not len(grades):
-        return Model(weights, start)
-    sizes = np.array([len(d) for d in documents])
-    flat = np.concatenate(documents)
-    frequent, column = np.unique(flat, return_inverse=True)
+        return Model(np.empty(0, np.int64), np.empty(0), start, [])
+    frequent, column, row = _columns(documents)
+    counts = np.bincount(column)
+    marks = []
+    for j, s in enumerate(share, 1):
+        high = np.bincount(column, (grades >= j)[row], len(frequent))
+        rare = high - s * counts <= -MARK_DEVIATIONS * np.sqrt(s * (1 - s) * counts)
+        marks.append(frequent[rare & (high <= MARK_SHARE * counts)])
+    documents = [_with_marks(d, marks) for d in documents]
+    frequent, column, row = _columns(documents)
     counts = np.bincount(column)
-    keep = counts[column] >= least
-    row = np.repeat(np.arange(len(documents)), sizes)[keep]
-    chosen = np.flatnonzero(counts >= least)
+    ends = np.concatenate([[1], 1 / (1 + np.exp(start)), [0]])
+    residual = (1 - ends[:-1] - ends[1:])[grades]
+    score = np.bincount(column, residual[row], len(frequent))
+    tells = np.abs(score) >= LEAST_SCORE * np.sqrt(residual.var() * counts * (1 - counts / len(documents)))
+    chosen = np.flatnonzero((counts >= least) & (tells | (frequent >> BITS > 0)))
+    keep = np.isin(column, chosen)
+    row = row[keep]
     place = np.full(len(frequent), -1)
     place[chosen] = np.arange(len(chosen))
     column = place[column[keep]]
@@ -122,8 +159,14 @@ def fit(documents: list[np.ndarray], grades: np.ndarray, n_grades: int = 3, leas
         scale = rate / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         p -= scale * m / (1 - 0.9**t)
         p[:n] = np.sign(p[:n]) * np.maximum(np.abs(p[:n]) - np.minimum(scale[:n], 10.0) * sparse, 0)
-    weights[frequent[chosen]] = p[:n]
-    return Model(weights, p[n] + np.concatenate([[0], np.cumsum(np.exp(p[n + 1 :]))]))
+    some = np.flatnonzero(p[:n])
+    return Model(frequent[chosen][some], p[some], p[n] + np.concatenate([[0], np.cumsum(np.exp(p[n + 1 :]))]), marks)
+
+
+def _columns(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct buckets of all documents, and for each bucket of each document its place among them and the document."""
+    frequent, column = np.unique(np.concatenate(documents), return_inverse=True)
+    return frequent, column, np.repeat(np.arange(len(documents)), [len(d) for d in documents])
 
 
 def graded(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -61,10 +61,10 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected grade and tail probability of all documents, by the labels that aren't held out."""
+    """Expected grade and probability of the best grade of all documents, by the labels that aren't held out."""
     docs = table(spark, sf_dir, "documents")
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
-    found = quality.grade(docs.select("doc_id", "text"), model)
+    found = quality.grade(docs.select("doc_id", "text"), model, tail_from=quality.GOOD)
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "expected_grade", "p_tail", "accepted")
 
 

@@ -234,6 +234,27 @@ def test_quality_separates_grades(spark):
     assert quality.grade(docs.limit(0), nothing).collect() == [] and quality.grade(docs, nothing).where("accepted").count() == 402
 
 
+def test_good_quality_rejects_toxic_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    insults = "trash pathetic idiot stupid loser clown scum worthless moron disgusting".split()
+    rows, labels = [], []
+    for k in range(900):
+        grade = 1 if k % 8 == 0 else 0 if k % 8 == 1 else 2
+        words = made_up(rng, "abcdefgh", 120).split()
+        for insult in rng.sample(insults, rng.choice([1, 1, 2, 6])) if grade == 1 else []:
+            words.insert(rng.randrange(len(words)), insult)
+        rows.append((k, " ".join(w.upper() + "!!" for w in words) if grade == 0 else " ".join(words), grade))
+        labels.append((k, int(grade > 0), int(grade == 1)))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, grade int")
+    kept = {r["doc_id"] for r in corpus_pipeline.good_quality(spark, docs, str(tmp_path)).collect()}
+    held = [(k, grade) for k, _, grade in rows if crc32(str(k).encode()) % 3 == 1]
+    share = lambda g: sum(k in kept for k, grade in held if grade == g) / sum(grade == g for _, grade in held)
+    assert share(2) > 0.97 and share(1) < 0.1 and share(0) == 0
+
+
 def plain_search(rows, k, scale, divisor):
     taken = {}
     for i, v in rows:
