@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from millrace.llm.common import slices, texts, worker_cache
 
 #: The base patterns, with the letters of the names in either case.
-_NAMES = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in name) for name in ("password", "passwd", "secret", "token", "api_?key"))
+_either = lambda names: "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in name) for name in names)
+_NAMES = _either(("password", "passwd", "secret", "token", "api_?key"))
 ASSIGN = re.compile(rf"""(?:{_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
@@ -38,8 +39,9 @@ KINDS = ("assign", "access", "hex", "identifier", "token", "endpoint")
 #: What a text holds, lower-cased, if ASSIGN can match it.
 _ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")
 
-_IDENTIFIER = re.compile(r"""(?:[Cc]lient|[Aa]ccount|[Tt]enant|[Aa]ccess[_-]?[Kk]ey|[Uu]ser)[_-]?(?:[Ii][Dd]|[Nn]ame)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{4,}|(?:ASIA|AROA|AIDA)[A-Z0-9]{12,}""")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+_OWNERS, _LABELS = _either(("client", "account", "tenant", "access[_-]?key", "user")), _either(("id", "name"))
+_IDENTIFIER = re.compile(rf"""(?:{_OWNERS})[_-]?(?:{_LABELS})["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{{4,}}|(?:ASIA|AROA|AIDA)[A-Z0-9]{{12,}}""")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 _ENDPOINT = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s\"'<>]+")
 _PARAGRAPH = re.compile(r"\n[ \t]*\n")
 #: Bits a character from which a token looks random.
@@ -72,7 +74,11 @@ def weak_parts(text: str) -> list[tuple[int, str, int]]:
     if "://" in text:
         found += [(m.start(), "endpoint", m.end()) for m in _ENDPOINT.finditer(text)]
     if ":" in text or "=" in text or "A" in text:
-        found += [(m.start(), "identifier", m.end()) for m in _IDENTIFIER.finditer(text)]
+        names = [(m.start(), "identifier", m.end()) for m in _IDENTIFIER.finditer(text)]
+        # the value in NAME=value of an identifier is no token beside it
+        values = sorted((s, e) for s, _, e in names)
+        own = lambda s: text[s - 1 : s] == "=" and (k := bisect_right(values, (s, 1 << 62))) and s < values[k - 1][1]
+        found = [p for p in found if p[1] != "token" or not own(p[0])] + names
     return found
 
 
