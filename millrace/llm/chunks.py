@@ -6,6 +6,9 @@ and the newline is a piece of its own.  Encoding the chunks between them one by
 one and joining their ids therefore gives the ids of the whole text.  Texts
 repeat chunks, so a bounded table of chunk -> ids serves most of them without
 calling the tokenizer.  Runs of white space take a slower, equally exact cut.
+
+A text that may hold the string of an added token goes to the library whole, and so
+does every text where the tokenizer file is of a kind for which the cut isn't proven.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ import struct
 import unicodedata
 from collections.abc import Callable
 
+import numpy as np
+
 from millrace.llm.common import worker_cache
 
 #: A space that may be cut at.  Python's \s holds every white space of Unicode.
@@ -27,12 +32,13 @@ class ChunkTable(dict):
 
     A chunk that starts with a newline is encoded as it is, any other with a space
     before it.  One that touches more white space maps to None, which sends its
-    text to the slower cut of ``joined``.
+    text to the slower cut of ``joined``.  Texts that hold one of ``hints`` aren't
+    cut at all: ``whole`` encodes them.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], limit: int = 600_000):
+    def __init__(self, encode: Callable[[str], bytes], limit: int = 600_000, hints: tuple[str, ...] = (), whole: Callable[[str], bytes] | None = None):
         super().__init__()
-        self.encode, self.limit, self.old = encode, limit, {}
+        self.encode, self.limit, self.old, self.hints, self.whole = encode, limit, {}, hints, whole
 
     def __missing__(self, chunk: str) -> bytes | None:
         if len(self) >= self.limit:
@@ -52,6 +58,9 @@ class ChunkTable(dict):
 
     def joined(self, text: str) -> bytes:
         """encode(text), for an ``encode`` whose values join at lone spaces and newlines."""
+        for hint in self.hints:
+            if hint in text:
+                return self.whole(text)
         head, *rest = text.replace("\n", " \n").split(" ")
         try:
             return self.encode(head) + b"".join(map(self.__getitem__, rest))
@@ -97,11 +106,25 @@ def _plain_cut(spec: dict) -> Callable[[str], list[str]] | None:
     return None
 
 
-def tokenizer_table(path: str, limit: int = 600_000) -> ChunkTable:
-    """ids of a tokenizers file, without special tokens, as little-endian unsigned 32-bit integers.
+def _hints(added: list[dict]) -> tuple[str, ...]:
+    """Strings of which a text holds one wherever it holds an added token; "" is in every text.
 
-    The library's model runs on each piece that the table lacks; strings of special
-    tokens count as ordinary text.
+    Of each token, the ASCII punctuation at its start, two characters of it at least: no normalizer
+    that ``_plain_cut`` knows makes such a string, so it stands in the text itself.
+    """
+    heads = set()
+    for token in added:
+        head = re.match(r"[!-/:-@\[-`{-~]{2,}", token["content"])
+        heads.add(head[0] if head and not token["lstrip"] else "")
+    return ("",) if "" in heads else tuple(sorted(heads))
+
+
+def tokenizer_table(path: str, limit: int = 600_000, plain_text: bool = False) -> ChunkTable:
+    """ids as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them, as little-endian unsigned 32-bit integers.
+
+    Strings of added tokens in a text give those tokens, as in the library; with ``plain_text``
+    (the library's ``encode_special_tokens``) they count as ordinary text.  The library's model
+    runs on each piece that the table lacks.
     """
     from tokenizers import Tokenizer
 
@@ -109,7 +132,10 @@ def tokenizer_table(path: str, limit: int = 600_000) -> ChunkTable:
     normalizer, cut, model = tokenizer.normalizer, tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model
     if hasattr(model, "_resize_cache"):
         model._resize_cache(0)  # the table takes its place
-    plain = _plain_cut(json.loads(tokenizer.to_str()))
+    spec = json.loads(tokenizer.to_str())
+    plain = _plain_cut(spec)
+    tokenizer.encode_special_tokens = plain_text
+    hints = ("",) if plain is None else _hints([t for t in spec["added_tokens"] if not (plain_text and t["special"])])
     to_chars = {b: ord(c) for b, c in byte_characters().items()}
     pieces: dict[str, bytes] = {}
 
@@ -117,9 +143,12 @@ def tokenizer_table(path: str, limit: int = 600_000) -> ChunkTable:
         found = [t.id for t in model.tokenize(piece)]
         return struct.pack(f"<{len(found)}I", *found)
 
+    def whole(text: str) -> bytes:
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(chunk: str) -> bytes:
         core = chunk[1:] if chunk[:1] in (" ", "\n") else chunk
-        if plain is None or not core.isprintable() or not (core.isascii() or max(core) < "Ā"):
+        if not core.isprintable() or not (core.isascii() or max(core) < "Ā"):
             return b"".join([ids(p) for p, _ in cut(normalizer.normalize_str(chunk) if normalizer else chunk)])
         out = []
         for piece in plain(chunk):
@@ -133,9 +162,9 @@ def tokenizer_table(path: str, limit: int = 600_000) -> ChunkTable:
             out.append(value)
         return b"".join(out)
 
-    return ChunkTable(encode, limit)
+    return ChunkTable(encode, limit, hints, whole)
 
 
-def worker_table(path: str, limit: int = 600_000) -> ChunkTable:
+def worker_table(path: str, limit: int = 600_000, plain_text: bool = False) -> ChunkTable:
     """The table of this Python worker: it lives across the worker's tasks."""
-    return worker_cache(f"chunks {path} {limit}", lambda: tokenizer_table(path, limit))
+    return worker_cache(f"chunks {path} {limit} {plain_text}", lambda: tokenizer_table(path, limit, plain_text))

@@ -10,6 +10,7 @@ from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 T = TypeVar("T")
 
@@ -27,6 +28,12 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
+def partitions_for(rows: DataFrame, target: int = 128 << 20, text_col: str = "text") -> int:
+    """How many partitions hold about ``target`` bytes of text each, the session's number at least; one pass over the texts."""
+    total = rows.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // target))
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each has few rows and, long rows aside, few bytes."""
     for batch in batches:
@@ -67,14 +74,34 @@ def _release() -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which every executor reaches.
 
-    The setting is read from the session.  Only where the cluster names none, as
-    in tests, does the session get a folder of its own under /tmp/checkpoints.
+    The setting is read from the session.  Only where the cluster names none and every task
+    runs on this machine, as in tests, does the session get a folder under /tmp/checkpoints.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        context = spark.sparkContext
+        found = context._jsc.sc().getCheckpointDir()
+        if not found.isDefined() and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = found.get() if found.isDefined() else "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
+    made = f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
+    _made.append(made)
+    return made
+
+
+_made: list[str] = []
+
+
+def remove_shared(spark: SparkSession) -> int:
+    """Delete the folders that this driver process has made by ``shared_dir``; returns their number.
+
+    To be called once the results that were built on them are consumed: they are read from there.
+    """
+    n = len(_made)
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def written(spark: SparkSession, df: DataFrame, folder: str, name: str) -> DataFrame:

@@ -86,8 +86,9 @@ def pack(
     of two generations; fewer take less memory and more time, the result is the same.  ids are little-endian unsigned 32-bit integers.
     A null text counts as empty: its document is the end id alone.  Repeated rows and
     null doc_ids are packed like any other; an empty table gives no piece; a text of
-    any length is cut into pieces; other columns are not read.  Sequences are numbered
-    by task, so a task that runs again gives the same numbers.
+    any length is cut into pieces; other columns are not read.  Sequences are numbered by
+    task in the order of its rows: a task that runs again gives the same numbers if it
+    reads its rows in the same order, as from files; behind a shuffle, write ``docs`` first.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

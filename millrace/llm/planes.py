@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.chunks import worker_table
-from millrace.llm.common import slices, texts, written
+from millrace.llm.common import partitions_for, slices, texts, written
 
 MAGIC = b"IDPLANE1"
 BLOCK = 1 << 16
@@ -133,53 +133,77 @@ def _open(uri: str, mode: str):
     from pyarrow import fs
 
     system, path = fs.FileSystem.from_uri(uri)
-    return system, path, system.open_output_stream(path) if mode == "w" else system.open_input_file(path)
+    if mode == "r":
+        return system.open_input_file(path)
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    return system.open_output_stream(path)
 
 
-def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, bits: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Documents a file holds at most; its index lists them.
+FILE_DOCUMENTS = 1 << 20
+
+MANIFEST = "part int, file int, path string, n_docs long, n_ids long"
+
+
+def write(
+    docs: DataFrame,
+    tokenizer: str,
+    folder: str,
+    end_id: int = 2,
+    bits: bool = False,
+    file_ids: int = 1 << 25,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """Encode all texts and write them in ascending doc_id order as files below ``folder``, a URI that all executors reach.
 
-    Returns the manifest, already written: (part int, path string, n_docs long, n_ids long), one
-    row a file; files follow each other in the order of ``part``.  A null text counts as empty and
-    holds the end id alone; null doc_ids come first; rows with the same doc_id follow each other
-    in the order of their texts; an empty table writes no file; other columns are not read.  A file
-    is written under a name of its attempt and then renamed, so a task may run twice.
+    Returns the manifest, already written (see MANIFEST), one row a file; files follow each other in the
+    order of ``part`` and ``file``.  file_ids: ids after which a task begins another file; a longer document
+    has one to itself.  A null text counts as empty and holds the end id alone; null doc_ids come first;
+    rows with the same doc_id follow each other in the order of their texts; an empty table writes no file;
+    other columns are not read; texts of any length are encoded whole.  Nothing is renamed or replaced: a
+    file's name holds its attempt, and only those of the attempts that Spark committed are in the manifest.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = worker_table(tokenizer).joined, np.array([end_id], "<u4").tobytes()
         context = TaskContext.get()
-        part = context.partitionId()
-        path, writer, n_ids = f"{folder}/ids-{part:06d}.planes", None, 0
+        part, n, writer, n_ids, path = context.partitionId(), 0, None, 0, ""
         for batch in slices(batches):
-            if writer is None:
-                from pyarrow import fs
-
-                system, base = fs.FileSystem.from_uri(folder)
-                system.create_dir(base, recursive=True)
-                system, attempt, file = _open(f"{path}.{context.taskAttemptId()}", "w")
-                writer = Writer(file, bits)
             for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = encode(text or "") + end
+                if writer is not None and (n_ids + len(ids) // 4 > file_ids or len(writer.keys) >= FILE_DOCUMENTS):
+                    yield _listed(writer, part, n, path, n_ids)
+                    n, writer, n_ids = n + 1, None, 0
+                if writer is None:
+                    path = f"{folder}/ids-{part:06d}-{n:04d}-{context.taskAttemptId()}.planes"
+                    writer = Writer(_open(path, "w"), bits)
                 n_ids += len(ids) // 4
                 writer.add(key, ids)
         if writer is not None:
-            writer.close()
-            file.close()
-            system.move(attempt, attempt.rpartition(".")[0])
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "n_docs": pa.array([len(writer.keys)], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})
+            yield _listed(writer, part, n, path, n_ids)
+
+    rows, key = texts(docs, id_col, text_col), F.col("doc_id").asc_nulls_first()
+    ordered = rows.repartitionByRange(partitions_for(rows), key, "text").sortWithinPartitions(key, "text")
+    return written(docs.sparkSession, ordered.mapInArrow(run, MANIFEST), folder, "manifest")
+
 
-    ordered = texts(docs, id_col, text_col).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return written(docs.sparkSession, ordered.mapInArrow(run, "part int, path string, n_docs long, n_ids long"), folder, "manifest")
+def _listed(writer: Writer, part: int, n: int, path: str, n_ids: int) -> pa.RecordBatch:
+    """Finish a file; its row of the manifest."""
+    writer.close()
+    writer.file.close()
+    row = (pa.array([part], pa.int32()), pa.array([n], pa.int32()), pa.array([path]), pa.array([len(writer.keys)], pa.int64()), pa.array([n_ids], pa.int64()))
+    return pa.RecordBatch.from_arrays(list(row), [c.split()[0] for c in MANIFEST.split(", ")])
 
 
 def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """(doc_id, start, ids) of every document, from the files; start: ids of all documents before it.
 
     The driver holds the manifest, one row a file, to number the ids; documents stay with the executors.
+    An empty manifest gives no row.
     """
     files, before = [], 0
-    for row in sorted(manifest.collect(), key=lambda r: r["part"]):
+    for row in sorted(manifest.collect(), key=lambda r: (r["part"], r["file"])):
         files.append((row["path"], before))
         before += row["n_ids"]
     if not files:
@@ -188,7 +212,7 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start in zip(batch.column("path").to_pylist(), batch.column("before").to_pylist(), strict=True):
-                system, name, file = _open(path, "r")
+                file = _open(path, "r")
                 yield from _batches(Reader(file, file.size()).documents(), start)
                 file.close()
 

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from millrace.llm import bpe, chunks, packing, planes
 
-HARD = [None, "", " ", "  a", "a  b", "a \n b\n\n c", "\n", "x\n y", "tab\t z", "é́   b", "<|endoftext|> a", "İstanbul ΣΑΣ", " lead", "trail ", "a\x1cb \x85 c", "don't I'll", "日本語 テスト", "½ a²b ªµº", "a\xadb", "a" * 3000, "word " * 3000, "\x00\x00 x", "😀 a😀b"]
+HARD = [None, "", " ", "  a", "a  b", "a \n b\n\n c", "\n", "x\n y", "tab\t z", "é́   b", "<|endoftext|> a", "a <|endoftext|> b", "a<|endoftext|>\n\n<|startoftext|>x", "<|ENDOFTEXT|> <| endoftext|>", "İstanbul ΣΑΣ", " lead", "trail ", "a\x1cb \x85 c", "don't I'll", "日本語 テスト", "½ a²b ªµº", "a\xadb", "a" * 3000, "word " * 3000, "\x00\x00 x", "😀 a😀b"]
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -29,9 +29,10 @@ def ranks():
     return bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-def library(path):
+def library(path, plain_text=False):
     found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
+    if plain_text:
+        found.encode_special_tokens = True
     return lambda text: found.encode(text or "", add_special_tokens=False).ids
 
 
@@ -39,11 +40,16 @@ def pieces_of(rows):
     return [np.frombuffer(r, "<u4").tolist() for r in rows]
 
 
+PARTS = st.text(alphabet=st.one_of(st.sampled_from(" \n\t'.,aBé̈1½ſ<|"), st.characters(codec="utf-8")), max_size=40)
+TOKENS = st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "<", " "])
+
+
+@pytest.mark.parametrize("plain_text", [False, True])
 @pytest.mark.parametrize("path", [BYTE, WORD])
-def test_chunked_ids_are_the_library_s(path):
-    table, encode = chunks.tokenizer_table(path), library(path)
+def test_chunked_ids_are_the_library_s(path, plain_text):
+    table, encode = chunks.tokenizer_table(path, plain_text=plain_text), library(path, plain_text)
 
-    @given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'.,aBé̈1½ſ"), st.characters(codec="utf-8")), max_size=40))
+    @given(st.lists(PARTS | TOKENS, max_size=4).map("".join))
     @settings(max_examples=300, deadline=None)
     def check(text):
         assert np.frombuffer(table.joined(text), "<u4").tolist() == encode(text)
@@ -53,6 +59,19 @@ def test_chunked_ids_are_the_library_s(path):
         assert np.frombuffer(table.joined(text or ""), "<u4").tolist() == encode(text)
 
 
+def test_tokenizers_of_another_kind_go_to_the_library_whole(tmp_path):
+    """Its pieces run across spaces and newlines, and its added token starts with a letter."""
+    from tokenizers import AddedToken, Regex, pre_tokenizers
+
+    own = Tokenizer.from_file(BYTE)
+    own.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(r"\s+|\S+"), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    own.add_tokens([AddedToken("end of", normalized=False)])
+    own.save(str(tmp_path / "own.json"))
+    table, encode = chunks.tokenizer_table(str(tmp_path / "own.json")), library(str(tmp_path / "own.json"))
+    for text in ("a \n b", "the end of it", "x\n\ny z"):
+        assert np.frombuffer(table.joined(text), "<u4").tolist() == encode(text)
+
+
 def test_table_forgets_and_stays_right():
     table, encode = chunks.tokenizer_table(BYTE, limit=3), library(BYTE)
     for text in ("one two three four five six", "two three two one", "six one four two one"):
@@ -197,5 +216,7 @@ def test_files_hold_documents_in_order(spark, docs, tmp_path, bits):
         expected = [*encode(text), 2]
         assert (key, begin, np.frombuffer(ids, "<u4").tolist()) == (doc_id, start, expected)
         start += len(expected)
+    small = planes.write(docs, WORD, f"file://{tmp_path}/small", end_id=2, bits=bits, file_ids=40)
+    assert sorted((tuple(r) for r in planes.read(spark, small).collect()), key=lambda r: r[1]) == rows and small.count() > 4
     empty = planes.write(docs.limit(0), WORD, f"file://{tmp_path}/none")
     assert planes.read(spark, empty).collect() == []
