@@ -128,7 +128,17 @@ def test_license_table_edges(spark):
     assert got[None]["n_base"] == 1 and got[None]["base_labels"] == "cc-by" and licenses.scan(docs.limit(0)).collect() == []
 
 
+def copies_plainly(rows):
+    """Canonical form -> smallest doc_id that has it."""
+    out = {}
+    for doc_id, text in rows:
+        form = fingerprints.canonical(text or "")
+        out[form] = min((d for d in (out.get(form), doc_id) if d is not None), default=None)
+    return out
+
+
 def edited_plainly(rows):
+    copy_of = copies_plainly(rows)
     rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), (r[1] or "").encode()))
     out = []
     for k, (doc_id, text) in enumerate(rows):
@@ -136,7 +146,7 @@ def edited_plainly(rows):
         changed = text[: len(text) - len(text) // 3] + following[: len(text) // 3]
         form = [fingerprints.canonical(t) for t in (text, changed, following)]
         marks = [fingerprints.digest(f) for f in form]
-        out.append((doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), marks[0], marks[1], float(form[0] == form[1]), float(form[0] == form[2])))
+        out.append((doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), marks[0], marks[1], float(form[0] == form[1]), float(form[0] == form[2]), copy_of[form[0]]))
     return sorted(out, key=str)
 
 
@@ -146,7 +156,8 @@ def edited_plainly(rows):
         [],
         [(1, "lonely text")],
         [(k * 7 % 50, f"text {k % 5} " * (k % 9)) for k in range(50)],
-        [(1, "abcdef"), (1, "xyz"), (None, None), (None, "qq"), (5, "ABC  DEF"), (3, ""), (-4, "abc def"), (2**62, "é" * 4000)],
+        [(1, "abcdef"), (1, "xyz"), (None, None), (None, "qq"), (5, "ABC  DEF"), (3, ""), (-4, "abc def"), (2**62, "é" * 4000), (2**63 - 1, "end"), (-(2**63) + 1, "start")],
+        [(k, "same  Text" if k % 3 else f"own {k}") for k in range(60)],
     ],
 )
 def test_fingerprints_with_next(spark, rows):
@@ -154,22 +165,49 @@ def test_fingerprints_with_next(spark, rows):
     assert sorted((tuple(r) for r in fingerprints.compare_with_next(docs).collect()), key=str) == edited_plainly(rows)
 
 
+def test_many_rows_of_one_id_are_split_and_keep_their_order(spark, monkeypatch):
+    """A third of the rows has one id, another third none; each row is followed by another one, around the whole circle."""
+    monkeypatch.setattr(fingerprints, "MANY_ROWS", 1)
+    rows = [(7, f"text {k}") for k in range(80)] + [(None, f"none {k}") for k in range(80)] + [(k, f"own {k}") for k in range(80)]
+    got = fingerprints.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_chars"]) for r in got if r["doc_id"] is not None) == sorted((d, len(t)) for d, t in rows if d is not None)
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    edits = {digest(fingerprints.edited_text(t, u)): (t, u) for _, t in rows for _, u in rows}
+    assert len(got) == len(rows) and all(r["edited_sha256"] in edits for r in got)
+    ranges = fingerprints._Ranges([0, 50], {7: 5, 2**62: 3})
+    keys = np.array([-9, 0, 6, *[7] * 50, 8, 49, 50, *[2**62] * 20, 2**62 + 1], np.int64)
+    hashes = np.random.default_rng(1).integers(0, 1 << 63, len(keys), np.uint64) * np.uint64(2)
+    buckets = ranges.of(keys, hashes)
+    order = np.lexsort((hashes, -keys))
+    assert (np.diff(buckets[order]) >= 0).all() and len(set(buckets[keys == 7].tolist())) == 5 and not set(buckets[keys == 7].tolist()) & set(buckets[keys != 7].tolist())
+
+
 def test_canonical_form():
-    assert fingerprints.canonical(" Ａ\t ß x ") == fingerprints.canonical("a SS x") == b"a ss x"
+    assert fingerprints.canonical(" Ａ\t ß x ") == fingerprints.canonical("a SS x") == b"a ss x"
     assert fingerprints.canonical("a b") != fingerprints.canonical("ab")
 
 
-def test_copies_compare_bytes_inside_buckets(spark, monkeypatch):
-    rows = [(1, "Same text"), (2, "other"), (3, "same  TEXT"), (4, None), (5, ""), (6, "third"), (7, "THIRD"), (None, "third"), (2, "zz")]
+def copies(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r["doc_id"]: r["copy_of"] for r in fingerprints.copies(docs).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4, 6: 6, 7: 6}
+    return {r["doc_id"]: r["copy_of"] for r in fingerprints.compare_with_next(docs).collect()}
+
+
+def test_copies_compare_bytes_inside_buckets(spark):
+    rows = [(1, "Same text"), (2, "other"), (3, "same  TEXT"), (4, None), (5, ""), (6, "third"), (7, "THIRD"), (None, "third")]
+    assert copies(spark, rows) == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4, 6: 6, 7: 6, None: 6}
 
 
 def test_copies_survive_colliding_fingerprints(spark, monkeypatch):
-    collide = lambda df, *_: df.selectExpr("doc_id", "'same' AS fingerprint")
-    monkeypatch.setattr(fingerprints, "fingerprints", collide)
-    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "A"), (4, "B"), (5, "c")], "doc_id long, text string")
-    assert {r["doc_id"]: r["copy_of"] for r in fingerprints.copies(docs).collect()} == {1: 1, 2: 2, 3: 1, 4: 2, 5: 5}
+    """Every text has the same fingerprint, as if all collided."""
+    import pyspark.cloudpickle as cloudpickle
+
+    cloudpickle.register_pickle_by_value(fingerprints)
+    monkeypatch.setattr(fingerprints, "digest", lambda form: "same")
+    try:
+        assert copies(spark, [(1, "a"), (2, "b"), (3, "A"), (4, "B"), (5, "c"), (None, "b")]) == {1: 1, 2: 2, 3: 1, 4: 2, 5: 5, None: 2}
+        assert copies(spark, [(1, "a"), (None, "d")]) == {1: 1, None: None}
+    finally:
+        cloudpickle.unregister_pickle_by_value(fingerprints)
 
 
 def plain_ngrams(text):
