@@ -13,7 +13,9 @@ A signature that more than ``hot`` sets share isn't expanded.  A set with h hot
 signatures and h < need still meets each of its partners in a colder one, often
 need - h times, so pairs that meet less often are dropped.  What remains are the sets
 with h >= need: members of large groups of near copies.  Each hot signature has a head,
-the set that shares most signatures with others, and its other sets are compared with it.
+the set that shares most signatures with others.  A set keeps those of its heads that have
+most of its hot signatures, until what it drops is less than a quarter of its need, and is
+compared with them; since a pair has need signatures in common, it keeps a head in common.
 Take two sets x and y that link with each other and share a signature under head b, and let
 x lie outside b's component.  With D(x) the difference of x and b, |x ^ y| = |D(x) ^ D(y)|,
 so x and y must share elements of their differences: at least half of what |D(x)| is beyond
@@ -21,14 +23,19 @@ a link with b, at least |D(x)| less the most differences of x with any partner,
 x's elements outside b at least num/den * |x| - |x & b|.  Differences of independent edits
 hardly meet, so an index of their elements finds the partners, unless elements that more
 than ``hot`` sets share could make up all that is needed.  One head of the many that a pair
-has in common suffices, so this matters only where it holds for at least half of the need
-of x; those sets are compared with all under such a head whose differences have a possible size
-and parity sketch.
-
-Only sets that differ are joined: documents with equal sets share an entity.  Links
-are verified on the full sets.  Components come from hashed-minimum label propagation
-over tables in the shared folder.  Words, shingles and sets are told apart by 64-bit
-hashes.
+has in common suffices, so this matters only where it holds, with the dropped ones, for at least
+half of the need of x; those sets are compared with all under such a head whose differences have
+a possible size and parity sketch.
+
+A signature that more than ``hot`` sets share within what a task has gathered is hot without
+more ado: its holders are dealt by set, not by signature, and its bucket only gets word of it.  So no
+bucket has to take in a group of near copies that makes up a third of all rows.
+
+Only sets that differ are joined: documents with equal sets share an entity.  An entity is
+named by 63 bits of a 128-bit xxHash of the set, and documents of one name whose other 63 bits
+differ are split into entities of their own.  Links are verified on the full sets.
+Components come from hashed-minimum label propagation over tables in the shared folder.
+Words and shingles are told apart by 64-bit hashes (xxh3 of the word's bytes).
 """
 
 from __future__ import annotations
@@ -40,7 +47,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import shared_dir, slices, texts, worker_cache, written
@@ -58,10 +65,22 @@ PARITY_WORDS = 16
 _PARITY = [f"p{k}" for k in range(PARITY_WORDS)]
 
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
-_BASE = 0x9E3779B97F4A7C15
-_random = np.random.Generator(np.random.PCG64(7))
-_BYTES = _random.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: list[np.ndarray] = []
+#: Distinct words whose hashes a worker keeps.
+WORDS = 200_000
+#: Bytes of text whose signatures go to a bucket, for inputs of less than MANY buckets and beyond.
+BUCKET_BYTES, LARGE_BUCKET_BYTES, MANY = 32 << 20, 256 << 20, 20_000
+
+
+class _Words(dict):
+    """Word -> its hash."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS:
+            self.clear()
+        found = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            self[word] = found
+        return found
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -71,34 +90,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if not _powers or len(_powers[0]) < n:
-        n = max(n, 1 << 20)
-        tables = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            table = np.full(n, base, np.uint64)
-            table[0] = 1
-            tables.append(np.cumprod(table, dtype=np.uint64))
-        _powers[:] = tables
-    return _powers[0], _powers[1]
-
-
-def _word_hashes(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of each space-separated word."""
-    data = np.frombuffer(buffer, np.uint8)
-    if not len(data):
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = data != 32
-    starts = np.flatnonzero(inside[1:-1] & ~inside[:-2])
-    ends = np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1
-    power, inverse = _power_tables(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * power[: len(data)], out=total[1:])
-    return starts, mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-
-
 def shingle_sets(batch: list[str], n: int = 5) -> list[np.ndarray]:
     """The sorted shingle hashes of each text; one for the whole text if it has fewer than n words, none if it has no word."""
     out, part, size = [], [], 0
@@ -112,31 +103,30 @@ def shingle_sets(batch: list[str], n: int = 5) -> list[np.ndarray]:
     return out + (_sets(part, n) if part else [])
 
 
-def _sets(raws: list[bytes], n: int) -> list[np.ndarray]:
-    starts, words = _word_hashes(b" ".join(raws))
-    edges = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raws])])
-    cut = np.searchsorted(starts, edges)
-    whole = np.zeros(max(0, len(words) - n + 1), np.uint64)
+def _joined(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A hash for each n neighbours."""
+    whole = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
     for k in range(n):
-        whole = whole * np.uint64(0xD6E8FEB86659FD93) + words[k : k + len(whole)]
-    whole = mix(whole + np.uint64(n))
-    out = []
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        if b - a >= n:
-            out.append(np.unique(whole[a : b - n + 1]))
-        elif b > a:
-            h = np.zeros(1, np.uint64)
-            for w in words[a:b]:
-                h = h * np.uint64(0xD6E8FEB86659FD93) + w
-            out.append(mix(h + np.uint64(b - a)))
-        else:
-            out.append(np.empty(0, np.uint64))
+        whole = (whole ^ (whole >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) + hashes[k : k + len(whole)]
+    return mix(whole + np.uint64(n))
+
+
+def _sets(raws: list[bytes], n: int) -> list[np.ndarray]:
+    hash_of, words, cut = worker_cache("jaccard", _Words).__getitem__, [], [0]
+    for raw in raws:
+        words += map(hash_of, raw.split())
+        cut.append(len(words))
+    hashes = np.array(words, np.uint64)
+    whole, out = _joined(hashes, n), []
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        out.append(np.unique(whole[a : b - n + 1]) if b - a >= n else _joined(hashes[a:b], b - a) if b > a else np.empty(0, np.uint64))
     return out
 
 
-def entity(found: np.ndarray) -> int:
-    """A positive identifier of a set."""
-    return xxhash.xxh3_64_intdigest(found.tobytes()) >> 1
+def identity(found: np.ndarray) -> tuple[int, int]:
+    """A set's entity and what tells it from others of the same name, 63 bits each."""
+    digest = xxhash.xxh3_128_intdigest(found.tobytes())
+    return digest >> 65, digest & (1 << 63) - 1
 
 
 def parts_of(level: int) -> int:
@@ -176,23 +166,25 @@ def packed(values: np.ndarray) -> bytes:
 
 def unpacked(data: bytes) -> np.ndarray:
     out = np.zeros((len(data) * 8 // SIGNATURE_BITS, 8), np.uint8)
-    out[:, : SIGNATURE_BITS // 8] = np.frombuffer(data, np.uint8).reshape(len(out), -1)
+    out[:, : SIGNATURE_BITS // 8] = np.frombuffer(data, np.uint8).reshape(len(out), SIGNATURE_BITS // 8)
     return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
 # --- one pass over the texts: documents and signatures, dealt into buckets ---------------------------------
 
-_DEALT = "bucket int, docs binary, entities binary, marks binary, counts binary, signatures binary"
-_DEALT_TYPES = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("docs", "entities", "marks", "counts", "signatures")]])
+#: role 0: documents, their entities, sizes (as marks) and checks (as counts).  1: sets and their signatures.
+#: 2: the same for signatures known to be hot, dealt by set.  3: signatures of this bucket that are hot elsewhere.
+_DEALT = "bucket int, role int, docs binary, entities binary, marks binary, counts binary, signatures binary"
+_DEALT_TYPES = pa.schema([("bucket", pa.int32()), ("role", pa.int32()), *[(c, pa.binary()) for c in ("docs", "entities", "marks", "counts", "signatures")]])
 
 
 class _Gathered:
     """What a task has gathered: documents as they are, each distinct set once."""
 
-    def __init__(self, buckets: int, num: int, den: int):
-        self.buckets, self.num, self.den = buckets, num, den
+    def __init__(self, buckets: int, num: int, den: int, hot: int):
+        self.buckets, self.num, self.den, self.hot = buckets, num, den, hot
         self.turn = TaskContext.get().partitionId() if TaskContext.get() else 0
-        self.known: set[int] = set()
+        self.known: set[tuple[int, int]] = set()
         self.clear()
 
     def clear(self) -> None:
@@ -200,13 +192,13 @@ class _Gathered:
         self.entities, self.marks, self.counts, self.parts = [], [], [], []
 
     def add(self, doc_id: int, found: np.ndarray) -> None:
-        e = entity(found) if len(found) else -1
-        self.docs.append((doc_id, e, len(found)))
-        if e in self.known or not len(found):
+        e, check = identity(found) if len(found) else (-1, 0)
+        self.docs.append((doc_id, e, len(found), check))
+        if (e, check) in self.known or not len(found):
             return
         if len(self.known) >= KNOWN:
             self.known.clear()
-        self.known.add(e)
+        self.known.add((e, check))
         for level, need, own in signatures(found, self.num, self.den):
             self.entities.append(e)
             self.marks.append(min(need, MOST_NEED) << 1 | (level == len(found).bit_length()))
@@ -214,33 +206,54 @@ class _Gathered:
             self.parts.append(own)
             self.held += len(own)
 
+    def bucket_of(self, signatures: np.ndarray) -> np.ndarray:
+        return ((signatures >> np.uint64(SIGNATURE_BITS - 32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
+
     def batches(self) -> Iterator[pa.RecordBatch]:
-        """A row of documents, and a row for each bucket with its signatures, grouped by set."""
-        rows = []
+        """Rows of documents, sets and signatures for the buckets; see the roles above."""
         self.turn = (self.turn + 1) % self.buckets
-        d = np.array(self.docs, np.int64).reshape(-1, 3)
-        rows.append((self.turn, *(np.ascontiguousarray(d[:, k]).tobytes() for k in range(3)), b"", b""))
+        d = np.array(self.docs, np.int64).reshape(-1, 4)
+        rows = [(self.turn, 0, *(np.ascontiguousarray(d[:, k]).tobytes() for k in range(4)), b"")]
         if self.parts:
             every = np.concatenate(self.parts)
             of = np.repeat(np.arange(len(self.counts)), self.counts)
-            bucket = ((every >> np.uint64(SIGNATURE_BITS - 32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            every, of, bucket = every[order], of[order], bucket[order]
-            entities, marks = np.array(self.entities, np.int64), np.array(self.marks, np.uint16)
-            edges = np.searchsorted(bucket, np.arange(self.buckets + 1))
-            for b in range(self.buckets):
-                a, z = edges[b], edges[b + 1]
-                if a < z:
-                    held, counts = np.unique(of[a:z], return_counts=True)
-                    rows.append((b, b"", *(x.tobytes() for x in (entities[held], marks[held], counts.astype(np.uint32))), packed(every[a:z])))
+            ordered = np.sort(every)
+            far = ordered[self.hot :] == ordered[: len(ordered) - self.hot]
+            hot = np.unique(ordered[self.hot :][far])
+            is_hot = among(hot, every)
+            of_hot = (mix(np.array(self.entities, np.uint64)) % np.uint64(self.buckets)).astype(np.int64)[of[is_hot]]
+            rows += self._rows(1, self.bucket_of(every[~is_hot]), every[~is_hot], of[~is_hot])
+            rows += self._rows(2, of_hot, every[is_hot], of[is_hot])
+            edges = np.searchsorted(self.bucket_of(hot), np.arange(self.buckets + 1))
+            rows += [(b, 3, b"", b"", b"", b"", packed(hot[edges[b] : edges[b + 1]])) for b in range(self.buckets) if edges[b] < edges[b + 1]]
         for k in range(0, len(rows), 64):
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[k : k + 64]], f.type) for c, f in enumerate(_DEALT_TYPES)], schema=_DEALT_TYPES)
         self.clear()
 
+    def _rows(self, role: int, bucket: np.ndarray, every: np.ndarray, of: np.ndarray) -> list[tuple]:
+        """A row for each bucket, signatures grouped by set."""
+        entities, marks = np.array(self.entities, np.int64), np.array(self.marks, np.uint16)
+        order = np.argsort(bucket, kind="stable")
+        every, of, rows = every[order], of[order], []
+        edges = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+        for b in range(self.buckets):
+            a, z = edges[b], edges[b + 1]
+            if a < z:
+                held, counts = np.unique(of[a:z], return_counts=True)
+                rows.append((b, role, b"", *(x.tobytes() for x in (entities[held], marks[held], counts.astype(np.uint32))), packed(every[a:z])))
+        return rows
+
+
+def among(some: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Which of ``asked`` are in the sorted ``some``."""
+    if not len(some):
+        return np.zeros(len(asked), bool)
+    return some[np.minimum(np.searchsorted(some, asked), len(some) - 1)] == asked
+
 
 # --- a bucket: which sets meet in it ------------------------------------------------------------------------
 
-#: kind 0: document x with entity y of size n.  1: sets x and y meet n times in a band; need_x, need_y.
+#: kind 0: document x with entity y of size n; need_x: what tells the set from others of that name.  1: sets x and y meet n times in a band; need_x, need_y.
 #: 2: set x has n hot signatures in a band; need_x; need_y counts their holders.  3: set y holds hot signature x.
 _MET = "kind int, x long, y long, level int, n long, need_x long, need_y long"
 _MET_NAMES = [c.split()[0] for c in _MET.split(", ")]
@@ -253,8 +266,8 @@ def _met_table(kind: int, x, y, level, n, need_x, need_y) -> pa.Table:
     return pa.table([pa.array(c) for c in columns], names=_MET_NAMES)
 
 
-def meet(signature: np.ndarray, who: np.ndarray, mark: np.ndarray, hot: int) -> list[pa.Table]:
-    """Pairs of sets that share signatures, hot counts and hot members; one row a set and signature comes in."""
+def meet(signature: np.ndarray, who: np.ndarray, mark: np.ndarray, hot: int, known: np.ndarray | None) -> list[pa.Table]:
+    """Pairs of sets that share signatures, hot counts and hot members.  known: sorted signatures that are hot whatever comes in; None: all."""
     order = np.lexsort((who, signature))
     signature, who, need, inside = signature[order], who[order], mark[order].astype(np.int64) >> 1, mark[order] & 1 == 1
     again = np.zeros(len(signature), bool)
@@ -264,8 +277,11 @@ def meet(signature: np.ndarray, who: np.ndarray, mark: np.ndarray, hot: int) ->
     length = np.diff(np.append(first, len(signature)))
     out = []
     left, right = [], []
+    hot_here = length > hot if known is None or not len(known) else (length > hot) | among(known, signature[first])
+    if known is None:
+        hot_here[:] = True
     for g in range(2, hot + 1):
-        starts = first[length == g]
+        starts = first[(length == g) & ~hot_here]
         if len(starts):
             i, j = np.triu_indices(g, 1)
             left.append((starts[:, None] + i).ravel())
@@ -279,7 +295,7 @@ def meet(signature: np.ndarray, who: np.ndarray, mark: np.ndarray, hot: int) ->
         key = (index[a] * len(names) + index[b]) * 64 + level
         key, at, counts = np.unique(key, return_index=True, return_counts=True)
         out.append(_met_table(1, who[a[at]], who[b[at]], level[at], counts, need[a[at]], need[b[at]]))
-    is_hot = np.repeat(length > hot, length)
+    is_hot = np.repeat(hot_here, length)
     if is_hot.any():
         signature, who, need, holders = signature[is_hot], who[is_hot], need[is_hot], np.repeat(length, length)[is_hot]
         level = (signature & np.uint64((1 << _LEVEL_BITS) - 1)).astype(np.int64)
@@ -292,19 +308,25 @@ def meet(signature: np.ndarray, who: np.ndarray, mark: np.ndarray, hot: int) ->
 
 
 def _bucket(table: pa.Table, hot: int) -> pa.Table:
-    read = lambda c, kind=np.int64: np.frombuffer(b"".join(c.to_pylist()), kind)
-    of_docs = pc.equal(table.column("signatures"), b"")
-    docs, rest = table.filter(of_docs), table.filter(pc.invert(of_docs))
-    out = [_met_table(0, read(docs.column("docs")), read(docs.column("entities")), 0, read(docs.column("marks")), 0, 0)]
-    if rest.num_rows:
-        counts = read(rest.column("counts"), np.uint32)
+    of = lambda role: table.filter(pc.equal(table.column("role"), role))
+    read = lambda t, c, kind=np.int64: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
+    docs, known = of(0), np.unique(unpacked(b"".join(of(3).column("signatures").to_pylist())))
+    out = [_met_table(0, read(docs, "docs"), read(docs, "entities"), 0, read(docs, "marks"), read(docs, "counts"), 0)]
+    for role in (1, 2):
+        rest = of(role)
+        if not rest.num_rows:
+            continue
+        counts = read(rest, "counts", np.uint32)
         signature = unpacked(b"".join(rest.column("signatures").to_pylist()))
-        order = np.argsort(signature, kind="stable")
-        ordered = signature[order]
-        same = ordered[1:] == ordered[:-1]
-        shared = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-        row = np.repeat(np.arange(len(counts)), counts)[shared]
-        out += meet(signature[shared], read(rest.column("entities"))[row], read(rest.column("marks"), np.uint16)[row], hot)
+        if role == 1:
+            order = np.argsort(signature, kind="stable")
+            ordered = signature[order]
+            same = ordered[1:] == ordered[:-1]
+            chosen = order[np.concatenate([[False], same]) | np.concatenate([same, [False]]) | among(known, ordered)]
+        else:
+            chosen = np.arange(len(signature))
+        row = np.repeat(np.arange(len(counts)), counts)[chosen]
+        out += meet(signature[chosen], read(rest, "entities")[row], read(rest, "marks", np.uint16)[row], hot, known if role == 1 else None)
     return pa.concat_tables(out)
 
 
@@ -318,18 +340,21 @@ class Join:
         self.spark: SparkSession = docs.sparkSession
         self.docs, self.num, self.den, self.shingle, self.hot = docs, num, den, shingle, hot
         self.folder = shared_dir(self.spark)
-        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        least = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 2 * self.spark.sparkContext.defaultParallelism)
+        self.buckets = max(1, least, min(-(-size // BUCKET_BYTES), MANY), -(-size // LARGE_BUCKET_BYTES))
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         return written(self.spark, df, self.folder, name)
 
-    def run(self) -> tuple[DataFrame, DataFrame]:
-        """(doc_id, entity, n_shingles), (entity, component)."""
+    def run(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(doc_id, entity, n_shingles), (entity, first): the smallest doc_id of each entity, (entity, component)."""
         met = self.keep(self.meetings(), "met")
-        documents = met.where("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("entity"), F.col("n").alias("n_shingles"))
+        documents = met.where("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("entity"), F.col("need_x").alias("check"), F.col("n").alias("n_shingles"))
         pairs, led = self.candidates(met)
+        documents, entities, pairs, led = self.told_apart(documents, pairs, led)
         star = self.keep(led.where("entity <> head").select(F.col("head").alias("a"), F.col("entity").alias("b")).distinct(), "star")
-        self.sets = self.keep(self.entity_sets(documents, pairs.union(star)), "sets")
+        self.sets = self.keep(self.entity_sets(entities, pairs.union(star)), "sets")
         # first each set with its least candidate, which joins most of a group; then what still lies apart
         both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         compared = self.keep(self.compared(star), "compared")
@@ -339,14 +364,37 @@ class Join:
         if not compared.isEmpty():
             pairs = self.around(compared, labels, led)
             labels = self.components(self.verified(self.keep(self.apart(pairs, labels), "across")), labels, "third")
-        return documents, labels
+        return documents, entities, labels
+
+    def told_apart(self, documents: DataFrame, pairs: DataFrame, led: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """Documents, (entity, first), pairs and led, after different sets that share a name have got names of their own.
+
+        What holds of a name, its candidates and heads, counts for each of its sets, which only adds comparisons.
+        """
+        every = documents.where("n_shingles > 0").groupBy("entity").agg(F.min("doc_id").alias("first"), F.min("check").alias("low"), F.max("check").alias("high"))
+        every = self.keep(every, "entities")
+        shared = every.where("low <> high").select("entity")
+        if shared.isEmpty():
+            return documents, every.select("entity", "first"), pairs, led
+        sets = documents.join(shared, "entity").groupBy("entity", "check").agg(F.min("doc_id").alias("first"))
+        own = self.keep(sets.withColumn("own", -F.row_number().over(Window.orderBy("entity", "check"))), "own")  # names below 0, for the few that collide
+        documents = self.keep(documents.join(own.drop("first"), ["entity", "check"], "left").withColumn("entity", F.coalesce("own", "entity")).drop("own"), "documents")
+        entities = every.where("low = high").select("entity", "first").union(own.select("own", "first"))
+
+        def renamed(df: DataFrame, *names: str) -> DataFrame:
+            for name in names:
+                df = df.join(own.select(F.col("entity").alias(name), F.col("own").alias("_own").cast("long")), name, "left").withColumn(name, F.coalesce("_own", name)).drop("_own")
+            return df
+
+        within = own.alias("x").join(own.alias("y"), "entity").where("x.own < y.own").select(F.col("x.own").cast("long").alias("a"), F.col("y.own").cast("long").alias("b"))
+        pairs = renamed(pairs, "a", "b").select("a", "b").union(within)
+        return documents, entities, self.keep(pairs, "told-pairs"), self.keep(renamed(led, "entity", "head"), "told-led")
 
     def meetings(self) -> DataFrame:
         buckets, num, den, n, hot = self.buckets, self.num, self.den, self.shingle, self.hot
 
         def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            worker_cache("jaccard")
-            gathered = _Gathered(buckets, num, den)
+            gathered = _Gathered(buckets, num, den, hot)
             for part in slices(batches):
                 sets = shingle_sets([t or "" for t in part.column("text").to_pylist()], n)
                 for doc_id, found in zip(part.column("doc_id").to_pylist(), sets, strict=True):
@@ -356,13 +404,16 @@ class Join:
             yield from gathered.batches()
 
         dealt = self.docs.mapInArrow(deal, _DEALT)
-        return dealt.groupBy("bucket").applyInArrow(lambda t: _bucket(t, hot), _MET)
+        return dealt.repartition(2 * buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _bucket(t, hot), _MET)
 
     def candidates(self, met: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Candidate pairs (a, b), and (signature, entity, level, need, head) of the sets that hot signatures may hide."""
+        """Candidate pairs (a, b), and (entity, level, need, head, c, dropped) of the sets that hot signatures may hide.
+
+        c: hot signatures of the set with that head; dropped: those with heads that it doesn't keep.
+        """
         hot = met.where("kind = 2").groupBy(F.col("x").alias("entity"), "level")
-        hot = self.keep(hot.agg(F.sum("n").alias("h"), F.max("need_x").alias("need"), F.sum("need_y").alias("others")), "hot")
-        pairs = met.where("kind = 1").groupBy("x", "y", "level").agg(F.sum("n").alias("n"), F.max("need_x").alias("need_x"), F.max("need_y").alias("need_y"))
+        hot = self.keep(hot.agg(F.sum("n").alias("h"), F.min("need_x").alias("need"), F.sum("need_y").alias("others")), "hot")
+        pairs = met.where("kind = 1").groupBy("x", "y", "level").agg(F.sum("n").alias("n"), F.min("need_x").alias("need_x"), F.min("need_y").alias("need_y"))
         less = lambda name: hot.select(F.col("entity").alias(name), "level", F.col("h").alias(f"h_{name}"))
         pairs = pairs.join(less("x"), ["x", "level"], "left").join(less("y"), ["y", "level"], "left")
         enough = (F.col("n") >= F.col("need_x") - F.coalesce("h_x", F.lit(0))) & (F.col("n") >= F.col("need_y") - F.coalesce("h_y", F.lit(0)))
@@ -371,13 +422,18 @@ class Join:
         members = met.where("kind = 3").select(F.col("x").alias("signature"), F.col("y").alias("entity"), "level")
         members = self.keep(members.join(heavy, ["entity", "level"]), "members")
         heads = self.keep(members.groupBy("signature").agg(F.max(F.struct("rank", "entity"))["entity"].alias("head")), "heads")
-        return self.keep(pairs, "pairs"), self.keep(members.join(heads, "signature").drop("rank"), "led")
-
-    def entity_sets(self, documents: DataFrame, edges: DataFrame) -> DataFrame:
+        of_set = Window.partitionBy("entity", "level")
+        before = of_set.orderBy(F.desc("c"), "head").rowsBetween(Window.unboundedPreceding, -1)
+        led = members.join(heads, "signature").groupBy("entity", "level", "head").agg(F.count("*").alias("c"), F.min("need").alias("need"))
+        led = led.withColumn("h", F.sum("c").over(of_set)).withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0)))
+        led = led.where("4 * (h - before) >= need").withColumn("dropped", F.col("h") - F.sum("c").over(of_set))
+        return self.keep(pairs, "pairs"), self.keep(led.drop("h", "before"), "led")
+
+    def entity_sets(self, entities: DataFrame, edges: DataFrame) -> DataFrame:
         """(entity, found): the sets of the entities in candidate pairs, from one document of each."""
         n = self.shingle
         wanted = edges.select(F.col("a").alias("entity")).union(edges.select("b")).distinct()
-        firsts = self.keep(documents.groupBy("entity").agg(F.min("doc_id").alias("doc_id")).join(wanted, "entity"), "firsts")
+        firsts = self.keep(entities.select("entity", F.col("first").alias("doc_id")).join(wanted, "entity"), "firsts")
 
         def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in slices(batches):
@@ -468,8 +524,8 @@ class Join:
         met = met.join(warm.select("a", F.col("b").alias("x"), "h", "h_own"), ["a", "x"], "left").where("n >= need - coalesce(h, 0) and n_own >= need_own - coalesce(h_own, 0)")
         # sets whose need hot elements may cover under heads that have half of their signatures
         doubtful = self.keep(warm.where("h >= need and h_own >= need_own").select(F.col("a").alias("head"), F.col("b").alias("entity")), "doubtful")
-        unsettled = led.join(doubtful, ["head", "entity"]).groupBy("entity", "level").agg(F.count("*").alias("u"), F.max("need").alias("need"))
-        unsettled = self.keep(unsettled.where("2 * u >= need").select("entity").distinct(), "unsettled")
+        unsettled = led.join(doubtful, ["head", "entity"]).groupBy("entity", "level").agg(F.sum(F.col("c")).alias("u"), F.max("dropped").alias("dropped"), F.min("need").alias("need"))
+        unsettled = self.keep(unsettled.where("2 * (u + dropped) >= need").select("entity").distinct(), "unsettled")
         mine = doubtful.join(unsettled, "entity").select(F.col("head").alias("a"), F.col("entity").alias("b"))
         x = self.keep(placed.join(mine, ["a", "b"]).select("a", F.col("b").alias("x"), F.col("of_b").alias("of_x"), F.col("size").alias("size_x"), F.col("d").alias("d_x"), *[F.col(p).alias(f"x{p}") for p in _PARITY]), "rest")
         y = placed.select("a", F.col("b").alias("y"), F.col("of_b").alias("of_y"), F.col("size").alias("size_y"), F.col("d").alias("d_y"), *_PARITY)
@@ -531,8 +587,7 @@ def components(docs: DataFrame, num: int = 75, den: int = 100, shingle: int = 5,
     counts, once; an empty table gives an empty one; whole texts are read; other columns are not.
     """
     join = Join(_rows(docs, id_col, text_col), num, den, shingle, hot)
-    documents, labels = join.run()
-    return _named(join, documents, labels)
+    return _named(join, *join.run())
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -544,11 +599,10 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.join(repeated, "doc_id", "left_anti").union(one)
 
 
-def _named(join: Join, documents: DataFrame, labels: DataFrame) -> DataFrame:
+def _named(join: Join, documents: DataFrame, entities: DataFrame, labels: DataFrame) -> DataFrame:
     """Components of documents, named by their smallest doc_id."""
     alone = documents.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    first = documents.where("n_shingles > 0").groupBy("entity").agg(F.min("doc_id").alias("first"))
-    first = join.keep(first.join(labels, "entity", "left").select("entity", "first", F.coalesce("component", "entity").alias("component")), "first")
+    first = join.keep(entities.join(labels, "entity", "left").select("entity", "first", F.coalesce("component", "entity").alias("component")), "first")
     smallest = join.keep(first.groupBy("component").agg(F.min("first").alias("component_id")), "smallest")
     of = join.keep(first.join(smallest, "component").select("entity", "component_id"), "named")
     return documents.where("n_shingles > 0").join(of, "entity").select("doc_id", "n_shingles", "component_id").union(alone)

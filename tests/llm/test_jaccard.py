@@ -86,6 +86,40 @@ def test_large_groups_of_near_copies(spark):
     assert run(spark, some, hot=3) == brute_force(some)
 
 
+def test_different_sets_of_one_name_are_told_apart(spark, monkeypatch):
+    """As if the names of sets collided all the time; also gathers little at once and much, so that signatures are hot early or late."""
+    import pyspark.cloudpickle as cloudpickle
+
+    rng = random.Random(8)
+    base = words(rng, 60)
+    texts = [edited(rng, base, rng.choice((0.0, 0.01, 0.03, 0.06))) for _ in range(70)] + [words(rng, rng.randrange(1, 40)) for _ in range(40)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)] + [(500, " ".join(texts[3]))]
+    expected = brute_force(rows)
+    cloudpickle.register_pickle_by_value(jaccard)
+    try:
+        monkeypatch.setattr(jaccard, "FLUSH", 300)
+        assert run(spark, rows, hot=3) == expected
+        real = jaccard.identity
+        monkeypatch.setattr(jaccard, "identity", lambda found: (real(found)[0] % 19, real(found)[1]))
+        assert run(spark, rows, hot=3) == expected
+    finally:
+        cloudpickle.unregister_pickle_by_value(jaccard)
+
+
+def thue_morse(bits):
+    word = "a"
+    while len(word) < bits:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_words_that_defeat_polynomials_have_different_hashes(spark):
+    """These two words have the same polynomial hash modulo 2**64 in every base."""
+    word = thue_morse(1024)
+    other = word.translate(str.maketrans("ab", "ba"))
+    assert run(spark, [(1, word), (2, other), (3, word.upper())]) == {1: (1, 1), 2: (1, 2), 3: (1, 1)}
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "One two"), (5, "one  TWO"), (6, "one two three"), (7, "É a"), (8, "é a"), (9, "a\x1cb"), (10, "a b"), (11, "x " * 5000), (12, "x x x x x")]
     assert run(spark, rows) == brute_force(rows)
