@@ -6,15 +6,15 @@ keyed table in a fresh folder below the shared one that the session names.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.relational import latest, range_rows, zip_rows
+from millrace.operators.relational import latest, numbered, zip_rows
 from millrace.session import Session
 from millrace.sources.keyed import KeyedTable
+from millrace.sources.shared import shared_dir
 
 TABLES = ("region", "nation", "supplier", "customer", "part", "orders", "lineitem", "events")
 
@@ -25,11 +25,6 @@ def _session(spark: SparkSession, sf_dir: str, root: str | None = None) -> Sessi
     return Session(spark, root).attach_parquet(sf_dir, *TABLES)
 
 
-def _shared(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/engine-{uuid.uuid4().hex}"
-
-
 def _dialect(statement: str, names: str, digits: int | None = None) -> Query:
     """A statement with its result columns renamed, doubles rounded to ``digits``."""
 
@@ -90,7 +85,7 @@ STATEMENTS: dict[str, tuple[str, str, str, int | None]] = {
     "filter_pushdown_count": (
         "SELECT COUNT(o_orderkey) FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'F'",
         "n",
-        "SELECT count(*)::INT AS n FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'F'",
+        "SELECT count(*) AS n FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'F'",
         None,
     ),
     "filter_string_order": (
@@ -113,14 +108,14 @@ STATEMENTS: dict[str, tuple[str, str, str, int | None]] = {
         "SELECT o_orderkey FROM orders WHERE o_totalprice > 2 * (SELECT sum(o_totalprice) / count(*) FROM orders)",
         None,
     ),
-    "agg_count": ("SELECT COUNT(l_orderkey), COUNT(1) FROM lineitem", "n m", "SELECT count(*)::INT AS n, count(*)::INT AS m FROM lineitem", None),
+    "agg_count": ("SELECT COUNT(l_orderkey), COUNT(1) FROM lineitem", "n m", "SELECT count(*) AS n, count(*) AS m FROM lineitem", None),
     "agg_sum_int": ("SELECT SUM(l_linenumber) FROM lineitem", "s", "SELECT round(sum(l_linenumber::DOUBLE), 2) AS s FROM lineitem", 2),
     "agg_sum_double": ("SELECT SUM(l_extendedprice) FROM lineitem", "s", "SELECT round(sum(l_extendedprice), 2) AS s FROM lineitem", 2),
     "agg_simd_sum": ("SELECT SIMD_SUM(l_quantity) FROM lineitem", "s", "SELECT round(sum(l_quantity), 2) AS s FROM lineitem", 2),
     "agg_empty_input": (
         "SELECT SUM(l_quantity), COUNT(l_quantity), SIMD_SUM(l_tax) FROM lineitem WHERE l_quantity < 0",
         "s n v",
-        "SELECT 0.0::DOUBLE AS s, 0::INT AS n, 0.0::DOUBLE AS v",
+        "SELECT 0.0::DOUBLE AS s, 0::BIGINT AS n, 0.0::DOUBLE AS v",
         None,
     ),
     "agg_expression": (
@@ -135,7 +130,7 @@ STATEMENTS: dict[str, tuple[str, str, str, int | None]] = {
         "SELECT l_orderkey AS k, l_linenumber AS n, round(l_quantity / sum(l_quantity) OVER (), 12) AS share FROM lineitem WHERE l_discount > 0.02",
         12,
     ),
-    "agg_nested": ("SELECT SUM(COUNT(l_orderkey)), COUNT(SUM(l_tax)) FROM lineitem", "s n", "SELECT count(*)::DOUBLE AS s, 1::INT AS n FROM lineitem", None),
+    "agg_nested": ("SELECT SUM(COUNT(l_orderkey)), COUNT(SUM(l_tax)) FROM lineitem", "s n", "SELECT count(*)::DOUBLE AS s, 1::BIGINT AS n FROM lineitem", None),
     "fn_trigonometry": (
         "SELECT l_orderkey, l_linenumber, SIN(l_quantity), COS(l_quantity), TAN(l_quantity), ASIN(l_discount), ACOS(l_discount), ATAN(l_quantity) FROM lineitem",
         "k n s c t a b d",
@@ -202,7 +197,7 @@ STATEMENTS: dict[str, tuple[str, str, str, int | None]] = {
     "subquery_nested": (
         "SELECT * FROM (SELECT * FROM (SELECT COUNT(range) FROM range(1, 6)))",
         "n",
-        "SELECT count(*)::INT AS n FROM range(1, 6)",
+        "SELECT count(*) AS n FROM range(1, 6)",
         None,
     ),
     "subquery_filtered": (
@@ -227,7 +222,7 @@ _NEWEST = """SELECT o_custkey::INT AS o_custkey, o_orderkey::INT AS o_orderkey,
 
 
 def _keyed(spark: SparkSession, sf_dir: str, columns: str, key: str) -> Session:
-    session = _session(spark, sf_dir, _shared(spark))
+    session = _session(spark, sf_dir, shared_dir(spark))
     for statement in ("CREATE DATABASE d", "USE d", f"CREATE TABLE t ({columns}) UNIQUE KEY ({key})"):
         session.sql(statement)
     return session
@@ -306,21 +301,59 @@ def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.sql("SELECT * FROM t WHERE o_custkey = 7")
 
 
+def point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One key, looked up in a compacted base with changes behind it."""
+    session = _upserted(spark, sf_dir, 2)
+    table: KeyedTable = session.table("t")
+    table.compact()
+    session.sql("INSERT INTO t VALUES (8, 1, 0.5, 'new')")
+    session.sql("DELETE FROM t WHERE o_custkey = 10")
+    return table.get(7).union(table.get(8)).union(table.get(10))
+
+
+_LINES = "l_line STRING, l_partkey INT, l_suppkey INT, l_extendedprice DOUBLE"
+
+
 def upsert_natural_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lineitem collapsed to one row for each order and line."""
-    order = [F.desc(c) for c in ("l_shipdate", "l_extendedprice", "l_partkey", "l_suppkey")]
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    return latest(rows, ["l_orderkey", "l_linenumber"], order).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    """Lineitem upserted under its order and line, in two statements by price; the dearer line of a key is put last and wins."""
+    session = _keyed(spark, sf_dir, _LINES, "l_line")
+    lines = session.rows("lineitem").withColumn("l_line", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    dear = F.col("l_extendedprice") >= 50000
+    for part in (lines.where(~dear), lines.where(dear)):
+        one = latest(part, ["l_line"], [F.desc(c) for c in ("l_extendedprice", "l_partkey", "l_suppkey")])
+        session.attach("part_of_lines", one.select("l_line", "l_partkey", "l_suppkey", "l_extendedprice"))
+        session.sql("INSERT INTO t SELECT * FROM part_of_lines")
+    return session.sql("SELECT * FROM t")
+
+
+def upsert_many_then_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A base of all orders, then changes to half of them, read without a shuffle of the base."""
+    session = _keyed(spark, sf_dir, "o_orderkey INT, o_totalprice DOUBLE, o_orderstatus STRING", "o_orderkey")
+    session.sql("INSERT INTO t SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")
+    session.table("t").compact()
+    session.sql("INSERT INTO t SELECT o_orderkey, o_totalprice + 1, TO_LOWER(o_orderstatus) FROM orders WHERE o_orderkey % 2 = 0")
+    return session.sql("SELECT * FROM t")
 
 
 def zip_from(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nation and region row by row, nulls where region has ended."""
+    """Orders and lineitem row by row, each in its order, nulls where the shorter one has ended."""
     s = _session(spark, sf_dir)
-    return zip_rows((s.rows("nation"), ["n_nationkey"]), (s.rows("region"), ["r_regionkey"])).select("n_nationkey", "n_name", "r_regionkey", "r_name")
+    orders = s.rows("orders").select("o_orderkey", "o_totalprice")
+    lines = s.rows("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    return zip_rows((orders, ["o_orderkey"]), (lines, lines.columns)).select("o_orderkey", "o_totalprice", *lines.columns)
+
+
+def row_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineitem with the place of each row by price."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey")
+    return numbered(rows, rows.columns, "place")
 
 
 def values_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return range_rows(spark, 0, 3).select("range", (F.col("range") * 10).alias("tens"))
+    """Tuples of literals and of constant expressions, as VALUES takes them; of tuples with one key the last counts."""
+    session = _keyed(spark, sf_dir, "k INT, price DOUBLE, s STRING", "k")
+    session.sql("INSERT INTO t VALUES (0, 1 + 2 * 3, 'a'), (7 / 2, SQRT(4), TO_UPPER('bé')), (-1, -2.5, NULL), (3, ABS(-1.25), CAST(12, 'STRING'))")
+    return session.sql("SELECT * FROM t")
 
 
 def show_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,29 +362,81 @@ def show_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.sql("SHOW TABLES")
 
 
+def show_databases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session = _keyed(spark, sf_dir, "id INT", "id")
+    session.sql("CREATE DATABASE b")
+    return session.sql("SHOW DATABASES")
+
+
+def drop_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that is dropped and made anew has none of its rows."""
+    session = _keyed(spark, sf_dir, "id INT", "id")
+    session.sql("INSERT INTO t BULK 5")
+    session.sql("CREATE TABLE gone (id STRING) UNIQUE KEY (id)")
+    for statement in ("DROP TABLE gone", "DROP TABLE t", "CREATE TABLE t (id INT) UNIQUE KEY (id)"):
+        session.sql(statement)
+    names = session.sql("SHOW TABLES").toDF("name")
+    return names.crossJoin(session.sql("SELECT COUNT(id) FROM t").toDF("n"))
+
+
+def drop_database(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session = _keyed(spark, sf_dir, "id INT", "id")
+    session.sql("CREATE DATABASE e")
+    session.sql("DROP DATABASE d")
+    return session.sql("SHOW DATABASES")
+
+
+def two_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sessions that write to one table by turns; a third one sees what both have written."""
+    one = _keyed(spark, sf_dir, "k INT, s STRING", "k")
+    two, three = Session(spark, one.root.uri), Session(spark, one.root.uri)
+    for session in (two, three):
+        session.sql("USE d")
+    for k in range(3):
+        for name, session in (("one", one), ("two", two)):
+            session.sql(f"INSERT INTO t VALUES ({2 * k + (name == 'two')}, '{name}'), (100, '{name}')")
+    return three.sql("SELECT * FROM t")
+
+
 WRITES: dict[str, tuple[Query, str]] = {
     "upsert_latest": (upsert_latest, _NEWEST),
     "flush_invariance": (flush_invariance, _NEWEST),
     "compact_invariance": (compact_invariance, _NEWEST),
     "delete_where": (delete_where, f"SELECT * FROM ({_NEWEST}) WHERE NOT (o_totalprice > 150000 OR o_orderstatus = 'P')"),
     "delete_count": (delete_count, f"SELECT count(*)::INT AS n FROM ({_NEWEST}) WHERE o_totalprice > 150000"),
-    "delete_all": (delete_all, "SELECT 0::INT AS n"),
+    "delete_all": (delete_all, "SELECT 0::BIGINT AS n"),
     "insert_select": (insert_select, "SELECT n_nationkey AS k, lower(n_name) AS name, n_regionkey::DOUBLE AS region FROM nation WHERE n_nationkey >= 5"),
     "insert_values": (insert_values, "SELECT * FROM (VALUES (1, 'c', 4.0::DOUBLE), (2, 'd', 3.0::DOUBLE), (3, NULL, 0.123456789::DOUBLE)) v(k, name, x)"),
     "insert_bulk": (insert_bulk, "SELECT range::INT AS id, range + 0.01::DOUBLE AS x, 'name_' || range AS name FROM range(0, 1000)"),
     "point_lookup": (point_lookup, f"SELECT * FROM ({_NEWEST}) WHERE o_custkey = 7"),
+    "point_get": (point_get, f"SELECT * FROM ({_NEWEST}) WHERE o_custkey = 7 UNION ALL SELECT 8, 1, 0.5, 'new'"),
     "upsert_natural_key": (
         upsert_natural_key,
-        """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM (SELECT *, row_number() OVER
-           (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_extendedprice DESC, l_partkey DESC, l_suppkey DESC) AS r FROM lineitem) WHERE r = 1""",
+        """SELECT l_line, l_partkey::INT AS l_partkey, l_suppkey::INT AS l_suppkey, l_extendedprice FROM (SELECT *, l_orderkey || '-' || l_linenumber AS l_line, row_number() OVER
+           (PARTITION BY l_orderkey, l_linenumber ORDER BY l_extendedprice DESC, l_partkey DESC, l_suppkey DESC) AS r FROM lineitem) WHERE r = 1""",
+    ),
+    "upsert_many_then_read": (
+        upsert_many_then_read,
+        """SELECT o_orderkey::INT AS o_orderkey, o_totalprice + (o_orderkey % 2 = 0)::INT AS o_totalprice,
+           CASE WHEN o_orderkey % 2 = 0 THEN lower(o_orderstatus) ELSE o_orderstatus END AS o_orderstatus FROM orders""",
     ),
     "zip_from": (
         zip_from,
-        """SELECT n_nationkey, n_name, r_regionkey, r_name FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS p FROM nation)
-           FULL JOIN (SELECT *, row_number() OVER (ORDER BY r_regionkey) AS p FROM region) USING (p)""",
+        """SELECT o_orderkey, o_totalprice, l_orderkey, l_linenumber, l_partkey, l_extendedprice
+           FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS p FROM orders)
+           FULL JOIN (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS p FROM lineitem) USING (p)""",
+    ),
+    "row_positions": (
+        row_positions,
+        """SELECT l_extendedprice, l_orderkey, l_linenumber, l_partkey,
+           row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey) - 1 AS place FROM lineitem""",
     ),
-    "values_tuples": (values_tuples, "SELECT * FROM (VALUES (0, 0), (1, 10), (2, 20)) v(range, tens)"),
+    "values_tuples": (values_tuples, "SELECT * FROM (VALUES (0, 7.0::DOUBLE, 'a'), (3, 1.25::DOUBLE, '12'), (-1, -2.5::DOUBLE, NULL)) v(k, price, s)"),
     "show_tables": (show_tables, "SELECT * FROM (VALUES ('a'), ('t')) v(\"Tables\")"),
+    "show_databases": (show_databases, "SELECT * FROM (VALUES ('b'), ('d')) v(\"Databases\")"),
+    "drop_table": (drop_table, "SELECT 't' AS name, 0::BIGINT AS n"),
+    "drop_database": (drop_database, "SELECT 'e' AS \"Databases\""),
+    "two_writers": (two_writers, "SELECT * FROM (VALUES (0, 'one'), (1, 'two'), (2, 'one'), (3, 'two'), (4, 'one'), (5, 'two'), (100, 'two')) v(k, s)"),
 }
 
 QUERIES: dict[str, Query] = {n: _dialect(sql, names, digits) for n, (sql, names, _, digits) in STATEMENTS.items()} | {n: q for n, (q, _) in WRITES.items()}

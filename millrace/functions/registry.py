@@ -180,12 +180,11 @@ AGGREGATES = {"COUNT", "SUM", "SIMD_SUM"}
 
 
 def aggregate(name: str, x: Typed) -> Typed:
-    """COUNT counts rows, NULLs as well; SUM is a double and 0 for no rows.  Of a single value, the value itself or 1."""
+    """COUNT counts rows, NULLs as well, in 64 bits; SUM is a double and 0 for no rows.  Of a single value, the value itself or 1."""
     label = f"{name}({x.name})"
     if name != "COUNT" and x.kind not in NUMERIC:
         raise BindError(f"{name} only supports INT/DOUBLE")
-    if x.width == "one":
-        return Typed(F.lit(1) if name == "COUNT" else F.coalesce(x.number.cast("double"), F.lit(0.0)), "INT" if name == "COUNT" else "DOUBLE", label, "one")
     if name == "COUNT":
-        return Typed(F.count(F.lit(1)).cast("int"), "INT", label, "one")
-    return Typed(F.coalesce(F.sum(x.number.cast("double")), F.lit(0.0)), "DOUBLE", label, "one")
+        return Typed(F.lit(1).cast("long") if x.width == "one" else F.count(F.lit(1)), "INT", label, "one", wide=True)
+    value = x.number.cast("double")
+    return Typed(F.coalesce(value if x.width == "one" else F.sum(value), F.lit(0.0)), "DOUBLE", label, "one")

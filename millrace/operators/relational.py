@@ -7,12 +7,18 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.sources.shared import shared_dir, written
+
 _ROW_BITS = 33  # of monotonically_increasing_id(): below them the row within its partition
 
 
+_INT_MOST = (1 << 31) - 1
+
+
 def range_rows(spark: SparkSession, start: int, stop: int, step: int = 1) -> DataFrame:
-    """The half-open range as one INT column ``range``."""
-    return spark.range(start, stop, step).select(F.col("id").cast("int").alias("range"))
+    """The half-open range as one column ``range``: INT, or 64 bits wide where a bound is beyond 32 bits."""
+    wide = max(abs(start), abs(stop)) > _INT_MOST
+    return spark.range(start, stop, step).select(F.col("id").cast("long" if wide else "int").alias("range"))
 
 
 def one_row(spark: SparkSession, values: dict) -> DataFrame:
@@ -21,13 +27,16 @@ def one_row(spark: SparkSession, values: dict) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list, name: str = "__position") -> DataFrame:
-    """Rows with their place, from 0, in the order of the columns ``order``.
+    """Rows with their place, from 0, in the order of the columns ``order``; rows equal in them in any order.
 
-    The sort is by range and stays distributed.  A count for each of its partitions, one
-    row each, is summed up and broadcast; no task sees more than its own range.
+    The sort is by range and stays distributed.  The sorted rows are written once to the shared
+    folder with their partition and their place in it: what numbers them and what counts them has
+    then seen the same partitions, whatever a plan that runs twice would make of its ranges.  One
+    count a partition is summed up and broadcast; no task sees more than its own range.
     """
+    spark = df.sparkSession
     placed = df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id())
-    placed = placed.withColumn("__part", F.shiftrightunsigned("__id", _ROW_BITS))
+    placed = written(spark, placed.withColumn("__part", F.shiftrightunsigned("__id", _ROW_BITS)), shared_dir(spark), "sorted")
     counts = placed.groupBy("__part").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))

@@ -106,9 +106,9 @@ class Binder:
     @staticmethod
     def _range(args: tuple[int, ...]) -> tuple[int, ...]:
         if not 2 <= len(args) <= 3:
-            raise BindError("range() requires 2 or 3 arguments: range(start, stop[, step])")
+            raise BindError(f"range takes a start, a stop and perhaps a step, not {len(args)} values")
         if len(args) == 3 and args[2] == 0:
-            raise BindError("range() step cannot be zero")
+            raise BindError("a range never ends with step 0")
         return args
 
     def _combined(self, sources: list[Source]) -> tuple[DataFrame, list[_Column], str | None]:
@@ -132,7 +132,7 @@ class Binder:
         if not isinstance(item, t.Star):
             return [item]
         if item.table is not None and item.table not in {c.table for c in columns}:
-            raise BindError(f"table {item.table} not exist")
+            raise BindError(f"FROM names no table {item.table}")
         chosen = [c for c in columns if item.table in (None, c.table)]
         if not chosen:
             raise BindError("* needs a table")
@@ -141,10 +141,10 @@ class Binder:
     @staticmethod
     def _resolved(node: t.Name, columns: list[_Column]) -> _Column:
         if node.table is not None and node.table not in {c.table for c in columns}:
-            raise BindError(f"table {node.table} not exist")
+            raise BindError(f"FROM names no table {node.table}")
         found = [c for c in columns if c.name == node.column and node.table in (None, c.table)]
         if not found:
-            raise BindError(f"table {node.table} doesn't contain column {node.column}" if node.table else f"column {node.column} not exist")
+            raise BindError(f"no column {node.column} in {node.table or 'FROM'}")
         if len(found) > 1:
             raise BindError(f"column {node.column} is ambiguous")
         return found[0]
@@ -168,7 +168,7 @@ class Binder:
         if node.name in r.AGGREGATES:
             return self._aggregate(node, columns, rows, whole)
         if node.name not in r.SCALARS:
-            raise BindError(f"The Function {node.name} Not Supported")
+            raise BindError(f"there is no function {node.name}")
         return r.scalar(node.name, [self.expression(a, columns, rows, whole) for a in node.args])
 
     def _aggregate(self, node: t.Call, columns: list[_Column], rows: DataFrame, whole: bool) -> r.Typed:

@@ -15,7 +15,7 @@ from millrace.plans import tree as t
 from millrace.plans.binder import Binder, Source, kind_of
 from millrace.plans.parser import parse
 from millrace.sources.files import Files
-from millrace.sources.keyed import SPARK_TYPES, KeyedTable
+from millrace.sources.keyed import SPARK_TYPES, KeyedTable, versions
 
 _PLAIN = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*\Z")
 
@@ -80,18 +80,16 @@ class Session:
 
     def _current(self) -> Files:
         if self.database is None:
-            raise e.NotChoiceDatabase("no database selected, please use 'USE <database>' first")
+            raise e.NotChoiceDatabase("USE a database first")
         return self._folder() / self.database
 
     def table(self, name: str) -> KeyedTable:
-        """A keyed table of the current database."""
+        """A keyed table of the current database, as committed last by any session."""
         folder = self._current()
         known = (self.database, name)
         if known not in self._open:
-            if not (folder / name).exists("manifest.json"):
-                raise e.NotFound(f"the table {name} not exist, please check table name")
             self._open[known] = KeyedTable.open(self.spark, folder / name, name)
-        return self._open[known]
+        return self._open[known].refresh()
 
     def _source(self, name: str) -> Source:
         if name in self.attached:
@@ -101,43 +99,46 @@ class Session:
 
     def _create_database(self, s: t.CreateDatabase, _: Binder) -> None:
         if self._folder().exists(s.name):
-            raise e.CreateError(f"the database {s.name} exists")
+            raise e.CreateError(f"there is a database {s.name} already")
         (self._folder() / s.name).make()
 
     def _create_table(self, s: t.CreateTable, _: Binder) -> None:
         folder = self._current() / s.name
         names = [n for n, _ in s.columns]
         kinds = [k.upper() for _, k in s.columns]
-        if folder.exists("manifest.json"):
-            raise e.CreateError(f"the table {s.name} exists")
+        if versions(folder):
+            raise e.CreateError(f"there is a table {s.name} already")
         if unknown := [k for k in kinds if k not in SPARK_TYPES]:
             raise e.CreateError(f"unknown type {unknown[0]}")
         if len(set(names)) < len(names) or not all(map(_PLAIN.match, names)):
             raise e.CreateError("columns need different plain names")
         if s.key is None:
-            raise e.CreateError("table has no primary key")
+            raise e.CreateError("a table needs a UNIQUE KEY")
         if s.key not in names:
-            raise e.CreateError(f"the key column {s.key} not exist")
+            raise e.CreateError(f"the key {s.key} is none of the columns")
         if kinds[names.index(s.key)] == "DOUBLE":
             raise e.CreateError("a DOUBLE can't be the key")
-        self._open[self.database, s.name] = KeyedTable.create(self.spark, folder, s.name, list(zip(names, kinds, strict=True)), s.key)
+        made = KeyedTable.create(self.spark, folder, s.name, list(zip(names, kinds, strict=True)), s.key)
+        if made is None:  # by another session since
+            raise e.CreateError(f"there is a table {s.name} already")
+        self._open[self.database, s.name] = made
 
     def _drop(self, s: t.Drop, _: Binder) -> None:
         if s.what == "DATABASE":
             if not self._folder().exists(s.name):
-                raise e.DropError(f"the database {s.name} not exist")
+                raise e.DropError(f"there is no database {s.name}")
             self._folder().delete(s.name)
             self._open = {k: v for k, v in self._open.items() if k[0] != s.name}
             self.database = None if self.database == s.name else self.database
         else:
-            if not (self._current() / s.name).exists("manifest.json"):
-                raise e.DropError(f"the table {s.name} not exist")
+            if not versions(self._current() / s.name):
+                raise e.DropError(f"there is no table {s.name}")
             self._current().delete(s.name)
             self._open.pop((self.database, s.name), None)
 
     def _use(self, s: t.Use, _: Binder) -> None:
         if not self._folder().exists(s.name):
-            raise e.DatabaseNotExists(f"the database {s.name} not exist")
+            raise e.DatabaseNotExists(f"there is no database {s.name}")
         self.database = s.name
 
     def _show(self, s: t.Show, _: Binder) -> DataFrame:

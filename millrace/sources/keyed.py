@@ -1,18 +1,29 @@
 """Primary-key tables: immutable Parquet segments, merged on read, last write wins.
 
-A table is a folder with a manifest and segments.  Every statement that writes adds one
-segment with the next sequence number; rows carry it as __seq, their place in the
-statement as __ord, and __op (0 put, 1 delete).  A read takes the newest row of each key
-and drops deleted ones.  ``compact`` rewrites everything as one segment of unique keys,
-sorted by key, which reads skip the merge for; ``flush`` does the same to the segments
-behind it.  Neither changes a result.  Only the manifest is ever replaced, in one step;
-one writer at a time is assumed.
+A table is a folder with numbered manifests and segments.  Every statement that writes adds
+one segment; the manifest lists them from old to new and gives each its sequence number when
+it is committed.  Rows carry their place in the statement as __ord and __op (0 put, 1 delete).
+A read takes the newest row of each key and drops deleted ones.
+
+Commits: a change is made to the newest manifest and written as the next number, which only
+one writer can create; another finds the number taken, reads the new manifest and makes its
+change to that.  So no writer loses another one's rows.
+
+Upkeep: the base is a segment of unique keys, bucketed and sorted by key, with a bloom filter
+on it.  Behind it lie up to RUNS changed segments; one more, and a run of neighbours of like
+size is merged into one (``pick``), so a row is rewritten about log(size) times; the base takes
+part only when the changes amount to a share of it.  A read joins the base with the changed
+keys, which are broadcast as long as the manifest bounds their bytes; beyond that they are
+shuffled to the base's buckets, and the base itself isn't.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -20,22 +31,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.errors import InsertError, NotFound
 from millrace.operators.relational import latest
 from millrace.sources.files import Files
 
 SPARK_TYPES = {"INT": T.IntegerType(), "DOUBLE": T.DoubleType(), "STRING": T.StringType()}
 _ARROW_TYPES = {"INT": pa.int32(), "DOUBLE": pa.float64(), "STRING": pa.string()}
-#: Segments behind the base at which a write compacts.
-COMPACT_AT = 8
-#: Rows behind the base up to which a read broadcasts them instead of merging by a shuffle.
-BROADCAST_ROWS = 100_000
+#: Segments behind the base at which a write merges some of them.
+RUNS = 8
+#: A segment joins the run behind it if it has at most so many times the run's rows.
+RATIO = 4
+#: Changed rows, as a share of the base, from which the base is merged as well.
+BASE_SHARE = 0.25
+#: Bytes of changed keys up to which a read broadcasts them.
+BROADCAST_BYTES = 64 << 20
+#: Bytes that a key takes in a broadcast table besides its own.
+_KEY_OVERHEAD = 16
+#: Bytes of a bucket of the base.
+BUCKET_BYTES = 256 << 20
+#: Manifests that stay when ``vacuum`` deletes old ones.
+KEPT_MANIFESTS = 3
+_MANIFEST = re.compile(r"manifest-([0-9]{9})\.json")
 
 
 @dataclass
 class Segment:
     name: str
     rows: int
+    seq: int = 0
+    key_bytes: int = 0
     unique: bool = False  # each key once, no deletes
+    buckets: int = 0  # by the hash of the key; 0: none
 
 
 @dataclass
@@ -48,26 +74,73 @@ class Manifest:
     last_epoch: dict[str, int] = field(default_factory=dict)
 
 
+def pick(rows: list[int], based: bool) -> tuple[int, int] | None:
+    """The run of segments that a write should merge, as (start, end); None while there are few.
+
+    rows: of each segment, from old to new; based: the first is the base.
+    """
+    first = int(based)
+    if len(rows) - first <= RUNS:
+        return None
+    start, total = len(rows) - 1, rows[-1]
+    while start > first and rows[start - 1] <= RATIO * total:
+        start -= 1
+        total += rows[start]
+    end = len(rows)
+    if end - start < 2:  # all much larger than the newest: the smallest neighbours
+        start = min(range(first, len(rows) - 1), key=lambda k: rows[k] + rows[k + 1])
+        end, total = start + 2, rows[start] + rows[start + 1]
+    if based and sum(rows[first:]) >= BASE_SHARE * rows[0]:
+        return 0, len(rows)
+    return start, end
+
+
 class KeyedTable:
-    def __init__(self, spark: SparkSession, files: Files, name: str, manifest: Manifest):
-        self.spark, self.files, self.name, self.manifest = spark, files, name, manifest
+    def __init__(self, spark: SparkSession, files: Files, name: str, manifest: Manifest, version: int):
+        self.spark, self.files, self.name, self.manifest, self.version = spark, files, name, manifest, version
 
     @classmethod
-    def create(cls, spark: SparkSession, files: Files, name: str, columns: list[tuple[str, str]], key: str) -> KeyedTable:
+    def create(cls, spark: SparkSession, files: Files, name: str, columns: list[tuple[str, str]], key: str) -> KeyedTable | None:
+        """A new table, or None if there is one."""
         files.make()
-        table = cls(spark, files, name, Manifest(list(columns), key))
-        table._save()
-        return table
+        made = Manifest(list(columns), key)
+        if versions(files) or not files.create_json(_manifest_name(1), asdict(made)):
+            return None
+        return cls(spark, files, name, made, 1)
 
     @classmethod
     def open(cls, spark: SparkSession, files: Files, name: str) -> KeyedTable:
-        found = files.read_json("manifest.json")
-        segments = [Segment(**s) for s in found.pop("segments")]
-        columns = [tuple(c) for c in found.pop("columns")]
-        return cls(spark, files, name, Manifest(columns=columns, segments=segments, **found))
+        table = cls(spark, files, name, None, 0)
+        table.refresh()
+        return table
 
-    def _save(self) -> None:
-        self.files.write_json("manifest.json", asdict(self.manifest))
+    def refresh(self) -> KeyedTable:
+        """See what other writers have committed."""
+        while True:
+            found = versions(self.files)
+            if not found:
+                raise NotFound(f"there is no table {self.name}")
+            if found[-1] == self.version:
+                return self
+            try:
+                read = self.files.read_json(_manifest_name(found[-1]))
+            except FileNotFoundError:  # vacuumed meanwhile
+                continue
+            segments = [Segment(**s) for s in read.pop("segments")]
+            columns = [tuple(c) for c in read.pop("columns")]
+            self.manifest, self.version = Manifest(columns=columns, segments=segments, **read), found[-1]
+            return self
+
+    def commit(self, change: Callable[[Manifest], bool]) -> bool:
+        """Make a change to the newest manifest; False if the change says that it no longer applies."""
+        while True:
+            self.refresh()
+            new = Manifest(**{**asdict(self.manifest), "columns": self.manifest.columns, "segments": [Segment(**asdict(s)) for s in self.manifest.segments]})
+            if not change(new):
+                return False
+            if self.files.create_json(_manifest_name(self.version + 1), asdict(new)):
+                self.manifest, self.version = new, self.version + 1
+                return True
 
     @property
     def schema(self) -> T.StructType:
@@ -77,140 +150,223 @@ class KeyedTable:
     def names(self) -> list[str]:
         return [n for n, _ in self.manifest.columns]
 
+    @property
+    def _full(self) -> T.StructType:
+        return T.StructType([*self.schema.fields, T.StructField("__ord", T.LongType()), T.StructField("__op", T.ByteType())])
+
     # --- reading ---
 
+    def _segment(self, segment: Segment) -> DataFrame:
+        path = f"{self.files.uri}/{segment.name}"
+        if not segment.buckets:
+            return self.spark.read.schema(self._full).parquet(path)
+        known = f"millrace_{segment.name.rpartition('-')[2]}"
+        if not self.spark.catalog.tableExists(known):
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self._full)
+            key = f"`{self.manifest.key}`"
+            uri = path if "://" in path else f"file://{path}"
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {known} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {segment.buckets} BUCKETS LOCATION '{uri}'")
+        return self.spark.table(known)
+
     def _segments(self, segments: list[Segment]) -> DataFrame:
-        full = T.StructType([*self.schema.fields, T.StructField("__seq", T.LongType()), T.StructField("__ord", T.LongType()), T.StructField("__op", T.ByteType())])
+        """All rows of the segments, with the number of each as __seq."""
         if not segments:
-            return self.spark.createDataFrame([], full)
-        return self.spark.read.schema(full).parquet(*[f"{self.files.uri}/{s.name}" for s in segments])
+            return self.spark.createDataFrame([], T.StructType([*self._full.fields, T.StructField("__seq", T.LongType())]))
+        return reduce(DataFrame.union, [self._segment(s).withColumn("__seq", F.lit(s.seq).cast("long")) for s in segments])
 
     def _merged(self, segments: list[Segment]) -> DataFrame:
-        """The newest row of each key, deletes included."""
-        return latest(self._segments(segments), [self.manifest.key], [F.desc("__seq"), F.desc("__ord")])
+        """The newest row of each key, deletes included; of equal keys of one statement the last one, or else the one with the greatest values."""
+        others = [F.desc_nulls_last(n) for n in self.names if n != self.manifest.key]
+        return latest(self._segments(segments), [self.manifest.key], [F.desc("__seq"), F.desc("__ord"), F.desc("__op"), *others])
 
-    def read(self) -> DataFrame:
-        """The table's rows now."""
-        segments, key = self.manifest.segments, self.manifest.key
+    def _split(self) -> tuple[list[Segment], list[Segment]]:
+        segments = self.manifest.segments
+        return (segments[:1], segments[1:]) if segments and segments[0].unique else ([], segments)
+
+    def _live(self, df: DataFrame) -> DataFrame:
+        return df.where("__op = 0").select(*self.names)
+
+    def _newest(self, segments: list[Segment]) -> DataFrame:
+        """The rows that the segments, which begin with the first one, leave."""
         base, rest = (segments[:1], segments[1:]) if segments and segments[0].unique else ([], segments)
         if not rest:
             return self._segments(base).select(*self.names)
-        live = lambda df: df.where("__op = 0").select(*self.names)
         if not base:
-            return live(self._merged(rest))
-        if sum(s.rows for s in rest) <= BROADCAST_ROWS:
-            # the manifest bounds what is broadcast; the base isn't shuffled
-            changed = self._segments(rest).select(key).distinct()
-            return self._segments(base).join(F.broadcast(changed), key, "left_anti").select(*self.names).union(live(self._merged(rest)))
-        return live(self._merged(segments))
+            return self._live(self._merged(rest))
+        key = self.manifest.key
+        changed = self._segments(rest).select(key).distinct()
+        size = sum(s.key_bytes + _KEY_OVERHEAD * s.rows for s in rest)
+        changed = F.broadcast(changed) if size <= BROADCAST_BYTES else changed.hint("merge")
+        return self._segment(base[0]).join(changed, key, "left_anti").select(*self.names).union(self._live(self._merged(rest)))
 
-    # --- writing ---
+    def read(self) -> DataFrame:
+        """The table's rows as of the manifest that was read last."""
+        return self._newest(self.manifest.segments)
 
-    def _add(self, name: str, rows: int, counter: int) -> None:
-        self.manifest.segments.append(Segment(name, rows))
-        self.manifest.next_seq += 1
-        self.manifest.row_counter = max(0, self.manifest.row_counter + counter)
-        self._save()
-        if len(self.manifest.segments) > COMPACT_AT:
-            self.compact()
+    def get(self, value) -> DataFrame:
+        """The row with this key, or none.  The predicate reaches every segment's scan; in the base it leaves one bucket, and there what bloom filter and key ranges let through."""
+        return self.read().where(F.col(self.manifest.key) == F.lit(value).cast(SPARK_TYPES[dict(self.manifest.columns)[self.manifest.key]]))
 
-    def _new(self) -> str:
-        return f"segment-{self.manifest.next_seq:09d}-{uuid.uuid4().hex[:8]}"
+    # --- writing ---
 
-    def _written(self, df: DataFrame, name: str) -> int:
-        df.write.parquet(f"{self.files.uri}/{name}")
-        return self._segments([Segment(name, 0)]).count()
+    def _new(self) -> str:
+        return f"segment-{uuid.uuid4().hex}"
+
+    def _write(self, df: DataFrame, unique: bool = False) -> Segment:
+        """Write rows as a segment, the base bucketed and sorted by key."""
+        name, key = self._new(), self.manifest.key
+        path = f"{self.files.uri}/{name}"
+        options = {f"parquet.bloom.filter.enabled#{key}": "true", f"parquet.bloom.filter.adaptive.enabled#{key}": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+        buckets = 0
+        if unique:
+            buckets = self._buckets()
+            known = f"millrace_{name.rpartition('-')[2]}"
+            rows = df.withColumns({"__ord": F.lit(0).cast("long"), "__op": F.lit(0).cast("byte")}).repartition(buckets, key).sortWithinPartitions(key)
+            rows.write.options(**options).bucketBy(buckets, key).sortBy(key).format("parquet").option("path", path).saveAsTable(known)
+        else:
+            df.write.options(**options).parquet(path)
+        length = F.lit(4) if dict(self.manifest.columns)[key] == "INT" else F.octet_length(key)
+        n, size = self.spark.read.schema(self._full).parquet(path).agg(F.count(F.lit(1)), F.coalesce(F.sum(length), F.lit(0))).first()
+        return Segment(name, n, 0, size, unique, buckets)
+
+    def _buckets(self) -> int:
+        """Buckets for a base of what the table holds now."""
+        size = 0
+        for segment in self.manifest.segments:
+            found = self.files.sizes(segment.name)
+            size += sum(found)
+        return max(1, -(-size // BUCKET_BYTES))
+
+    def _add(self, segment: Segment, counter: int, stream: str | None = None, epoch: int | None = None) -> bool:
+        def change(manifest: Manifest) -> bool:
+            if stream is not None:
+                if manifest.last_epoch.get(stream, -1) >= epoch:
+                    return False
+                manifest.last_epoch[stream] = epoch
+            segment.seq, manifest.next_seq = manifest.next_seq, manifest.next_seq + 1
+            manifest.segments.append(segment)
+            manifest.row_counter = max(0, manifest.row_counter + counter)
+            return True
+
+        added = self.commit(change)
+        if added and (run := pick([s.rows for s in self.manifest.segments], self.manifest.segments[0].unique)):
+            self._merge(*run)
+        return added
 
     def put_rows(self, rows: list[tuple]) -> int:
         """Upsert rows that the driver holds; of equal keys the last one counts."""
         if rows:
-            name = self._new()
+            name, key = self._new(), self.manifest.key
             (self.files / name).make()
             columns = [pa.array([row[k] for row in rows], _ARROW_TYPES[kind]) for k, (_, kind) in enumerate(self.manifest.columns)]
-            n = len(rows)
-            columns += [pa.array([self.manifest.next_seq] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([0] * n, pa.int8())]
-            pq.write_table(pa.table(columns, names=[*self.names, "__seq", "__ord", "__op"]), self.files.path(f"{name}/part-0.parquet"), filesystem=self.files.system)
-            self._add(name, n, n)
+            columns += [pa.array(range(len(rows)), pa.int64()), pa.array([0] * len(rows), pa.int8())]
+            pq.write_table(pa.table(columns, names=[*self.names, "__ord", "__op"]), self.files.path(f"{name}/part-0.parquet"), filesystem=self.files.system)
+            keys = [row[self.names.index(key)] for row in rows]
+            size = sum(len(k.encode()) if isinstance(k, str) else 4 for k in keys)
+            self._add(Segment(name, len(rows), 0, size), len(rows))
         return len(rows)
 
     def put(self, df: DataFrame, stream: str | None = None, epoch: int | None = None) -> int:
         """Upsert the rows of a DataFrame with the table's columns, in their order; returns their number.
 
-        A null key fails.  stream, epoch: an epoch of a stream that is in the table already is left out.
+        A DataFrame has no order: of its rows with one key the one with the greatest values, column by
+        column, counts.  A null key fails.  stream, epoch: an epoch of a stream that is in the table
+        already is left out.
         """
-        if stream is not None and self.manifest.last_epoch.get(stream, -1) >= epoch:
+        return self._put(df, True, stream, epoch)
+
+    def _put(self, df: DataFrame, counted: bool, stream: str | None = None, epoch: int | None = None) -> int:
+        if stream is not None and self.refresh().manifest.last_epoch.get(stream, -1) >= epoch:
             return 0
         cast = [F.col(f"`{c}`").cast(SPARK_TYPES[kind]).alias(n) for c, (n, kind) in zip(df.columns, self.manifest.columns, strict=True)]
         key = self.manifest.key
         checked = F.coalesce(key, F.raise_error(F.lit(f"the key {key} is null")).cast(SPARK_TYPES[dict(self.manifest.columns)[key]])).alias(key)
         rows = df.select(*cast).select(*[checked if n == key else n for n in self.names])
-        rows = rows.select("*", F.lit(self.manifest.next_seq).cast("long").alias("__seq"), F.monotonically_increasing_id().alias("__ord"), F.lit(0).cast("byte").alias("__op"))
-        name = self._new()
-        n = self._written(rows, name)
-        if stream is not None:
-            self.manifest.last_epoch[stream] = epoch
-        self._add(name, n, n)
-        return n
+        segment = self._write(rows.select("*", F.lit(0).cast("long").alias("__ord"), F.lit(0).cast("byte").alias("__op")))
+        return segment.rows if self._add(segment, segment.rows * counted, stream, epoch) else 0
 
     def put_generated(self, n: int) -> int:
-        """Upsert n generated rows, numbered on from the table's row counter."""
+        """Upsert n generated rows, numbered on from the table's row counter, which is moved on first: two writers get different numbers."""
+        taken = []
+
+        def reserve(manifest: Manifest) -> bool:
+            if "INT" in (kinds := [k for _, k in manifest.columns]) and manifest.row_counter + n + len(kinds) > 1 << 31:
+                raise InsertError("the row counter would leave the range of INT")
+            taken[:] = [manifest.row_counter]
+            manifest.row_counter += n
+            return True
+
+        self.commit(reserve)
         row, columns = F.col("id"), []
         for k, (name, kind) in enumerate(self.manifest.columns):
             made = {"INT": row + k, "DOUBLE": row + F.lit(k * 0.01), "STRING": F.concat(F.lit(f"{name}_"), row.cast("string"))}[kind]
             columns.append(made.cast(SPARK_TYPES[kind]).alias(name))
-        start = self.manifest.row_counter
-        return self.put(self.spark.range(start, start + n).select(*columns))
+        return self._put(self.spark.range(taken[0], taken[0] + n).select(*columns), False)
 
     def delete(self, keys: DataFrame) -> int:
         """Delete the rows with these keys (one column); returns their number."""
         key, kind = self.manifest.key, dict(self.manifest.columns)[self.manifest.key]
         others = [F.lit(None).cast(SPARK_TYPES[k]).alias(n) for n, k in self.manifest.columns if n != key]
         rows = keys.select(F.col(f"`{keys.columns[0]}`").cast(SPARK_TYPES[kind]).alias(key), *others).select(*self.names)
-        rows = rows.select("*", F.lit(self.manifest.next_seq).cast("long").alias("__seq"), F.lit(0).cast("long").alias("__ord"), F.lit(1).cast("byte").alias("__op"))
-        name = self._new()
-        n = self._written(rows, name)
-        if n:
-            self._add(name, n, -n)
+        segment = self._write(rows.select("*", F.lit(0).cast("long").alias("__ord"), F.lit(1).cast("byte").alias("__op")))
+        if segment.rows:
+            self._add(segment, -segment.rows)
         else:
-            self.files.delete(name)
-        return n
+            self.files.delete(segment.name)
+        return segment.rows
 
     # --- upkeep ---
 
     def flush(self) -> None:
         """Put all segments behind the base into one, with the newest row of each key; deletes stay."""
-        segments = self.manifest.segments
-        base, rest = (segments[:1], segments[1:]) if segments and segments[0].unique else ([], segments)
+        base, rest = self._split()
         if not base:
             self.compact()
         elif len(rest) > 1:
-            name = self._new()
-            n = self._written(self._merged(rest).sortWithinPartitions(self.manifest.key), name)
-            self._replace(rest, [*base, Segment(name, n)])
+            self._merge(1, len(self.manifest.segments))
 
     def compact(self) -> None:
-        """Rewrite the table as one segment of unique keys, in ranges sorted by key."""
-        old, key = self.manifest.segments, self.manifest.key
-        if not old or len(old) == 1 and old[0].unique:
-            return
-        name = self._new()
-        live = self._merged(old).where("__op = 0")
-        n = self._written(live.repartitionByRange(key).sortWithinPartitions(key), name)
-        self._replace(old, [Segment(name, n, unique=True)])
-
-    def _replace(self, old: list[Segment], new: list[Segment]) -> None:
-        """Old segments stay as files until ``vacuum``: a DataFrame read before may still need them."""
-        self.manifest.segments = new
-        self.manifest.next_seq += 1
-        self._save()
+        """Rewrite the table as one segment of unique keys, bucketed and sorted by key."""
+        if self.manifest.segments and not (len(self.manifest.segments) == 1 and self.manifest.segments[0].unique):
+            self._merge(0, len(self.manifest.segments))
+
+    def _merge(self, start: int, end: int) -> None:
+        """Put a run of neighbouring segments into one that has the newest row of each key; from the first segment on, deletes go."""
+        old = self.manifest.segments[start:end]
+        new = self._write(self._newest(old), unique=True) if start == 0 else self._write(self._merged(old).drop("__seq"))
+        names = [s.name for s in old]
+
+        def change(manifest: Manifest) -> bool:
+            have = [s.name for s in manifest.segments]
+            at = have.index(names[0]) if names[0] in have else -1
+            if at < 0 or have[at : at + len(names)] != names or (at == 0) != (start == 0):
+                return False
+            new.seq = old[-1].seq
+            manifest.segments[at : at + len(names)] = [new]
+            return True
+
+        if not self.commit(change):  # another writer has merged some of them
+            self.files.delete(new.name)
 
     def vacuum(self) -> None:
-        """Delete the files of segments that the manifest no longer lists."""
-        kept = {s.name for s in self.manifest.segments}
+        """Delete the files of segments that the newest manifest doesn't list, and old manifests.
+
+        A DataFrame read before may still need those files, and so may a statement that another
+        session is running.
+        """
+        kept = {s.name for s in self.refresh().manifest.segments}
         for name in self.files.folders():
             if name not in kept:
+                self.spark.sql(f"DROP TABLE IF EXISTS millrace_{name.rpartition('-')[2]}")
                 self.files.delete(name)
+        for version in versions(self.files)[:-KEPT_MANIFESTS]:
+            self.files.delete_file(_manifest_name(version))
+
+
+def versions(files: Files) -> list[int]:
+    """Numbers of a table's manifests; none if there is no table."""
+    return sorted(int(m[1]) for m in map(_MANIFEST.fullmatch, files.names()) if m)
+
 
-    def get(self, value) -> list:
-        """The row with this key, or none: the predicate reaches the scan of each segment."""
-        return self.read().where(F.col(self.manifest.key) == F.lit(value)).collect()
+def _manifest_name(version: int) -> str:
+    return f"manifest-{version:09d}.json"

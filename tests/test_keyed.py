@@ -96,7 +96,7 @@ def test_catalog(db, spark):
 
 
 def test_upkeep_never_changes_results(db, monkeypatch):
-    monkeypatch.setattr(keyed, "COMPACT_AT", 4)
+    monkeypatch.setattr(keyed, "RUNS", 3)
     rng, expected = random.Random(1), {}
     table = db.table("t")
     for turn in range(12):
@@ -106,14 +106,129 @@ def test_upkeep_never_changes_results(db, monkeypatch):
         if turn % 3 == 1:
             db.run(f"DELETE FROM t WHERE k < {turn}")
             expected = {k: r for k, r in expected.items() if k >= turn}
-        monkeypatch.setattr(keyed, "BROADCAST_ROWS", rng.choice((0, 100_000)))
+        monkeypatch.setattr(keyed, "BROADCAST_BYTES", rng.choice((0, 1 << 26)))
         if turn % 4 == 2:
             db.run("FLUSH t")
         if turn == 7:
             table.compact()
             table.vacuum()
         assert rows(db) == sorted(expected.values())
-    assert table.get(next(iter(expected)))[0][0] == next(iter(expected))
+    assert [tuple(r) for r in table.get(next(iter(expected))).collect()] == [expected[next(iter(expected))]] and table.get(-1).isEmpty()
+
+
+def test_two_sessions_lose_no_rows(db, spark):
+    """Each writes on the state that the other has left, even if it has read an older one."""
+    other = Session(spark, db.root.uri)
+    other.run("USE d")
+    mine, theirs = db.table("t"), other.table("t")
+    for k in range(4):
+        (mine, theirs)[k % 2].put_rows([(k, float(k), "x")])  # without another look at the manifest
+    other.run("INSERT INTO t VALUES (9, 9, 'y')")
+    assert rows(db) == rows(other) == [(k, float(k), "x") for k in range(4)] + [(9, 9.0, "y")]
+    other.run("DELETE FROM t WHERE k < 9")
+    assert rows(db, "SELECT k FROM t") == [(9,)]
+    other.run("DROP TABLE t")
+    with pytest.raises(e.NotFound):
+        db.run("SELECT * FROM t")
+
+
+def test_a_merge_keeps_what_is_written_meanwhile(db, spark, monkeypatch):
+    table, other = db.table("t"), Session(spark, db.root.uri)
+    other.run("USE d")
+    for k in range(3):
+        db.run(f"INSERT INTO t VALUES ({k}, {k}, 'x')")
+    write = table._write
+
+    def slow(*args, **options):
+        other.run("INSERT INTO t VALUES (1, 7, 'late')")
+        return write(*args, **options)
+
+    monkeypatch.setattr(table, "_write", slow)
+    table.compact()
+    assert rows(db) == [(0, 0.0, "x"), (1, 7.0, "late"), (2, 2.0, "x")]
+    monkeypatch.setattr(table, "_write", lambda *a, **o: (other.table("t").compact(), write(*a, **o))[1])
+    table.compact()  # the other session's merge came first; this one is given up
+    assert rows(db) == [(0, 0.0, "x"), (1, 7.0, "late"), (2, 2.0, "x")]
+    assert len(table.refresh().manifest.segments) == 1
+
+
+def test_two_generators_get_different_numbers(db, spark):
+    other = Session(spark, db.root.uri)
+    other.run("USE d")
+    mine, theirs = db.table("t"), other.table("t")
+    for table in (mine, theirs, mine):
+        table.put_generated(5)
+    assert rows(db, "SELECT COUNT(k), SUM(k) FROM t") == [(15, 105.0)]
+    with pytest.raises(e.InsertError):
+        mine.put_generated(1 << 31)
+
+
+@pytest.mark.parametrize("base", [0, 1000, 10**6])
+def test_small_writes_rewrite_little(base):
+    """Rows that 300 writes of one row rewrite, by the policy alone: each row about a logarithm of times, the base hardly ever."""
+    sizes, rewritten = [base] * (base > 0), 0
+    for _ in range(300):
+        sizes.append(1)
+        run = keyed.pick(sizes, base > 0)
+        if run:
+            rewritten += sum(sizes[run[0] : run[1]])
+            sizes[run[0] : run[1]] = [sum(sizes[run[0] : run[1]])]
+        assert len(sizes) <= keyed.RUNS + 1 and sum(sizes) >= base
+    assert rewritten < 300 * 10 + (5 * base if base <= 1000 else 0)
+
+
+def test_small_writes_leave_the_base_alone(db):
+    db.run("INSERT INTO t BULK 20000")
+    table = db.table("t")
+    table.compact()
+    base = table.manifest.segments[0].name
+    for k in range(12):
+        db.run(f"INSERT INTO t VALUES ({k}, 0.5, 'new')")
+    assert table.manifest.segments[0].name == base and len(table.manifest.segments) <= keyed.RUNS + 1
+    assert rows(db, "SELECT COUNT(k), SUM(k) FROM t WHERE s = 'new'") == [(12, 66.0)] and rows(db, "SELECT COUNT(k) FROM t") == [(20000,)]
+
+
+@pytest.mark.parametrize("limit", [0, 64 << 20])
+def test_reads_do_not_shuffle_the_base(db, monkeypatch, limit):
+    """With 200,000 changed rows: broadcast within the limit, beyond it dealt to the base's buckets."""
+    monkeypatch.setattr(keyed, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(keyed, "BUCKET_BYTES", 1 << 20)
+    db.run("INSERT INTO t BULK 300000")
+    table = db.table("t")
+    table.compact()
+    assert table.manifest.segments[0].buckets > 1
+    db.run("INSERT INTO t SELECT range, range, 'new' FROM range(0, 200000)")
+    plan = table.read()._jdf.queryExecution().executedPlan().toString()
+    anti = plan[plan.index("LeftAnti") :].split("Union")[0]
+    above_base = anti.split("Exchange")[0]
+    assert ("BroadcastHashJoin" in plan) == (limit > 0) and "FileScan" in above_base and "Bucketed: true" in plan or limit > 0
+    assert rows(db, "SELECT COUNT(k), SUM(v) FROM t WHERE s = 'new'") == [(200000, 19999900000.0)] and rows(db, "SELECT COUNT(k) FROM t") == [(300000,)]
+
+
+def test_a_point_get_reads_one_bucket_and_asks_the_bloom_filter(db, spark, monkeypatch):
+    monkeypatch.setattr(keyed, "BUCKET_BYTES", 1 << 18)
+    db.run("INSERT INTO t BULK 100000")
+    table = db.table("t")
+    table.compact()
+    assert [tuple(r) for r in table.get(777).collect()] == [(777, 777.01, "s_777")]
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # so that the plan tells of the buckets
+    plan, n = table.get(777)._jdf.queryExecution().executedPlan().toString(), table.manifest.segments[0].buckets
+    spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    assert "EqualTo(k,777)" in plan and n > 1 and f"SelectedBucketsCount: 1 out of {n}" in plan
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{table.files.uri}/{table.manifest.segments[0].name}")
+    files = [f.getPath() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder) if f.getPath().getName().endswith(".parquet")]
+    source = spark._jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(files[0], spark._jsc.hadoopConfiguration())
+    reader = spark._jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+    column = reader.getFooter().getBlocks().get(0).getColumns().get(0)
+    assert column.getBloomFilterOffset() > 0 and len(files) == n
+    reader.close()
+
+
+def test_equal_keys_of_one_statement(db, spark):
+    """Rows of a DataFrame have no order: the greatest values count."""
+    some = spark.createDataFrame([(1, 2.0, "b"), (1, None, "z"), (1, 2.0, "a"), (2, None, None)], "k int, v double, s string")
+    db.table("t").put(some.repartition(3))
+    assert rows(db) == [(1, 2.0, "b"), (2, None, None)]
 
 
 def test_stream_replays_change_nothing(db, spark, tmp_path):
