@@ -1,7 +1,8 @@
 """The corpus pipeline: language, quality, near copies, secrets, packing.
 
 Each stage gets the documents that the one before it left, and all but the last
-return the columns of documents.  Stages are written as Parquet and read again.
+return the columns of documents.  Stages are written as Parquet and read again;
+``millrace.llm.common.remove_shared`` deletes them once the result is consumed.
 """
 
 from __future__ import annotations
@@ -18,34 +19,53 @@ LEAST_LANGUAGE_SCORE = 0.2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages that the corpus names."""
+    """Documents in one of the languages that the corpus names.
+
+    Rows with null or empty texts, or without a letter, go; repeated rows and null ids are kept; an
+    empty table gives an empty one; whole texts of any length count.
+    """
     found = langid.predict(docs, langid.learn(docs))
     return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are more likely than not of the best grade: neither of low quality nor toxic."""
+    """Documents that are more likely than not of the best grade: neither of low quality nor toxic.
+
+    Rows with null texts or without tokens go; repeated rows and null ids are kept; an empty table gives
+    an empty one; whole texts of any length count.  Without labels all documents with tokens stay.
+    """
     return quality.grade(docs, quality.learn(docs, table(spark, sf_dir, "labels")), tail_from=quality.GOOD).where("accepted").select(docs.columns)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group; documents without a doc_id stay."""
-    groups = jaccard.components(docs)
-    copies = written(spark, groups.where("doc_id <> component_id").select("doc_id"), shared_dir(spark), "copies")
-    kept = docs.join(copies, "doc_id", "left_anti").select(docs.columns)
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    once = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("row"))
-    return once.select("doc_id", "row.*").select(docs.columns).union(kept.where("doc_id is null"))
+    """One document of each group of near copies, its doc_id the smallest; documents without text or words stay.
+
+    Rows are told apart by their doc_ids where those are unique.  Where rows share one or have none, each row counts
+    by itself: it goes only if it is a near copy of another one, and of rows with one id the first stays, those
+    without an id coming last.
+    """
+    folder = shared_dir(spark)
+    if docs.where("doc_id is null").isEmpty() and docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        copies = written(spark, jaccard.components(docs).where("doc_id <> component_id").select("doc_id"), folder, "copies")
+        return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    rows = written(spark, docs.withColumn("__row", F.monotonically_increasing_id()), folder, "rows")
+    groups = jaccard.components(rows, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    groups = written(spark, groups.join(rows.select("__row", "doc_id"), "__row"), folder, "groups")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"].alias("__row"))
+    return rows.join(first.select("__row"), "__row", "left_semi").select(docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets masked."""
+    """All documents, secrets masked; null and empty texts, repeated rows and null ids stay as they are, an empty table is empty."""
     return credentials.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 1024 tokens."""
+    """The pieces of all documents in sequences of at most 1024 tokens.
+
+    A null or empty text is a piece of one token; repeated rows and null ids are packed like any other;
+    texts of any length are cut; an empty table gives no piece.
+    """
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=0, table_entries=200_000)
 
 
