@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import TypeVar
 
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.shared import remove_shared, shared_dir, written  # noqa: F401
+
 T = TypeVar("T")
 
 #: Rows and bytes of text that an operator holds as Python objects at once.
@@ -34,7 +35,12 @@ def partitions_for(rows: DataFrame, target: int = 128 << 20, text_col: str = "te
     return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // target))
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+def with_own_names(docs: DataFrame) -> DataFrame:
+    """The columns renamed by their place, so that those which share a name can be told apart."""
+    return docs.toDF(*[f"_{k}" for k in range(len(docs.columns))])
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: str | int = "text") -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each has few rows and, long rows aside, few bytes."""
     for batch in batches:
         at = 0
@@ -69,43 +75,3 @@ def _release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except AttributeError:  # another C library than glibc
         pass
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which every executor reaches.
-
-    The setting is read from the session.  Only where the cluster names none and every task
-    runs on this machine, as in tests, does the session get a folder under /tmp/checkpoints.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        context = spark.sparkContext
-        found = context._jsc.sc().getCheckpointDir()
-        if not found.isDefined() and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = found.get() if found.isDefined() else "file:///tmp/checkpoints"
-    made = f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
-    _made.append(made)
-    return made
-
-
-_made: list[str] = []
-
-
-def remove_shared(spark: SparkSession) -> int:
-    """Delete the folders that this driver process has made by ``shared_dir``; returns their number.
-
-    To be called once the results that were built on them are consumed: they are read from there.
-    """
-    n = len(_made)
-    while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
-
-
-def written(spark: SparkSession, df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

@@ -4,8 +4,8 @@ Three base patterns always report: assignments of a secret to a name, access-key
 identifiers and long hexadecimal runs.  Beside them the scan looks for weak parts,
 which alone mean little: other identifiers, random-looking tokens and endpoints.
 A document falls into scopes, its paragraphs.  An interval join over the sorted
-parts of a scope, each widened by a reach, finds which kinds lie close together,
-and a weak part is reported only where its complement does:
+parts of a scope, each widened by a reach if one is set, finds which kinds occur
+together, and a weak part is reported only where its complement does:
 
     identifier   with a secret
     token        with an identifier or an endpoint
@@ -17,15 +17,16 @@ Base spans of kind assign and hex count as secrets, access as identifiers.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 from math import log2
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import slices, texts, worker_cache
+from millrace.llm.common import slices, texts, with_own_names, worker_cache
 
 #: The base patterns, with the letters of the names in either case.
 _either = lambda names: "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in name) for name in names)
@@ -82,20 +83,27 @@ def weak_parts(text: str) -> list[tuple[int, str, int]]:
     return found
 
 
-def _near(sorted_parts: list[tuple[int, int]], longest: int, start: int, end: int, reach: int) -> bool:
-    """Whether an interval of the list lies within ``reach`` of [start, end)."""
-    lo = bisect_left(sorted_parts, (start - reach - longest, 0))
-    hi = bisect_right(sorted_parts, (end + reach, 1 << 62))
-    return any(sorted_parts[k][1] + reach >= start for k in range(hi - 1, lo - 1, -1))
+class _Intervals:
+    """Intervals sorted by start, with the largest end up to each: a look-up takes two steps whatever their lengths."""
 
+    def __init__(self, spans: list[tuple[int, int]]):
+        spans = sorted(spans)
+        self.starts = [s for s, _ in spans]
+        self.ends = list(accumulate((e for _, e in spans), max))
 
-def linked(text: str, base: list[tuple[int, str, int]], reach: int) -> list[tuple[int, str, int]]:
+    def near(self, start: int, end: int, reach: int | None) -> bool:
+        """Whether one lies within ``reach`` of [start, end); None: whether there is any."""
+        if reach is None:
+            return bool(self.starts)
+        k = bisect_right(self.starts, end + reach)
+        return k > 0 and self.ends[k - 1] + reach >= start
+
+
+def linked(text: str, base: list[tuple[int, str, int]], reach: int | None) -> list[tuple[int, str, int]]:
     """The weak parts whose complement lies in the same scope and within reach."""
-    weak = weak_parts(text)
-    inside = sorted((s, e) for s, _, e in base)
-    longest = max((e - s for s, e in inside), default=0)
+    weak, inside = weak_parts(text), _Intervals([(s, e) for s, _, e in base])
     # a part that overlaps a base span is that span once more
-    weak = [w for w in weak if not _near(inside, longest, w[0] + 1, w[2] - 1, 0)]
+    weak = [w for w in weak if not inside.near(w[0] + 1, w[2] - 1, 0)]
     if not weak:
         return []
     edges = [m.start() for m in _PARAGRAPH.finditer(text)]
@@ -105,13 +113,8 @@ def linked(text: str, base: list[tuple[int, str, int]], reach: int) -> list[tupl
     out = []
     roles = {"assign": "secret", "hex": "secret", "access": "identifier"}
     for parts in scopes.values():
-        by_role: dict[str, list[tuple[int, int]]] = {}
-        for s, kind, e in parts:
-            by_role.setdefault(roles.get(kind, kind), []).append((s, e))
-        widest = {role: max(e - s for s, e in spans) for role, spans in by_role.items()}
-        for spans in by_role.values():
-            spans.sort()
-        near = lambda role, p: role in by_role and _near(by_role[role], widest[role], p[0], p[2], reach)  # noqa: E731, B023
+        by_role = {role: _Intervals([(s, e) for s, kind, e in parts if roles.get(kind, kind) == role]) for role in ("secret", "identifier", "token", "endpoint")}
+        near = lambda role, p: by_role[role].near(p[0], p[2], reach)  # noqa: E731, B023
         for part in parts:
             kind = part[1]
             if kind == "identifier" and (near("secret", part) or near("token", part)):
@@ -123,16 +126,18 @@ def linked(text: str, base: list[tuple[int, str, int]], reach: int) -> list[tupl
     return out
 
 
-def scan_text(text: str, reach: int = 400) -> list[tuple[str, int, int, bool]]:
+def scan_text(text: str, reach: int | None = None) -> list[tuple[str, int, int, bool]]:
     """(kind, start, end, base) of all spans, by start, then kind as listed."""
     base = base_spans(text)
     found = [(k, s, e, True) for s, k, e in base] + [(k, s, e, False) for s, k, e in linked(text, base, reach)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
-def scan(docs: DataFrame, reach: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, reach: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All spans of every row (see SPANS), in code points, ends exclusive.
 
+    reach: characters up to which parts are linked within a paragraph; None: throughout it.
+
     A null or empty text has no span; repeated rows and null doc_ids are kept; an
     empty table gives an empty one; a text of any length is scanned whole; other
     columns are not read.
@@ -148,25 +153,31 @@ def scan(docs: DataFrame, reach: int = 400, id_col: str = "doc_id", text_col: st
     return texts(docs, id_col, text_col).mapInArrow(run, SPANS)
 
 
-def redact(docs: DataFrame, reach: int = 400, mark: str = "[secret]", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+def redact(docs: DataFrame, reach: int | None = None, mark: str = "[secret]", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """``docs`` with ``mark`` in place of every span, overlapping ones counting as one; all rows and columns stay.
 
-    ``length_col``, if there is one, is set to the new length where the text has changed.  Null texts stay null.
+    ``length_col``, if there is one, is set to the new length where the text has changed.  Null and
+    empty texts stay as they are, and so do clean ones; repeated rows and null ids are kept; an empty
+    table gives an empty one; texts of any length are read whole; columns may share names, of which
+    the first counts.
     """
+    at = docs.columns.index(text_col)
+    length = docs.columns.index(length_col) if length_col in docs.columns else None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text_col):
-            worker_cache("credentials")
-            columns = dict(zip(part.schema.names, part.columns, strict=True))
-            old = columns[text_col].to_pylist()
+        worker_cache("credentials")
+        for part in slices(batches, at):
+            columns = list(part.columns)
+            old = columns[at].to_pylist()
             new = [t and _masked(t, scan_text(t, reach), mark) for t in old]
-            columns[text_col] = pa.array(new, columns[text_col].type)
-            if length_col in columns:
-                lengths = columns[length_col].to_pylist()
-                columns[length_col] = pa.array([n if a == b else len(b) for n, a, b in zip(lengths, old, new, strict=True)], columns[length_col].type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-    return docs.mapInArrow(run, docs.schema)
+            columns[at] = pa.array(new, columns[at].type)
+            if length is not None:
+                lengths = columns[length].to_pylist()
+                columns[length] = pa.array([n if a == b else len(b) for n, a, b in zip(lengths, old, new, strict=True)], columns[length].type)
+            yield pa.RecordBatch.from_arrays(columns, part.schema.names)
+
+    apart = with_own_names(docs)
+    return apart.mapInArrow(run, apart.schema).toDF(*docs.columns)
 
 
 def _masked(text: str, spans: list[tuple[str, int, int, bool]], mark: str) -> str:
