@@ -12,11 +12,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from millrace.llm.common import shared_dir, slices, worker_cache, written
+from millrace.llm.common import shared_dir, slices, with_own_names, worker_cache, written
 
 UNDETERMINED = "und"
 _BITS = 21  # of a code point; three of them fit into 63 bits
@@ -84,8 +84,11 @@ def learn(docs: DataFrame, size: int = 300, sample: int = 1000, id_col: str = "d
     """Profiles of the languages in ``lang_col``, from documents that aren't held out.
 
     sample: about how many documents are read for a language, chosen by a hash of
-    their ids; a language with fewer gives all.  The n-gram counts stay distributed;
-    the driver gets the languages and ``size`` n-grams for each.
+    their ids; a language with fewer gives all.  Null texts tell nothing; rows without a
+    doc_id or a language aren't learned from; a repeated row counts as often as it comes; of
+    equally frequent n-grams the smaller key comes first; an empty table gives no profile;
+    whole texts are read.  The n-gram counts stay distributed; the driver gets the languages
+    and ``size`` n-grams for each, in one job.
     """
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
@@ -108,11 +111,12 @@ def learn(docs: DataFrame, size: int = 300, sample: int = 1000, id_col: str = "d
 
     counts = chosen.select("lang", "text").mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     counts = written(spark, counts, shared_dir(spark), "ngrams")
-    lists = {}
-    for lang in per_language:
-        top = counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "key").select("key").limit(size)
-        lists[lang] = [r["key"] for r in top.collect()]
-    return Profiles({lang: keys for lang, keys in lists.items() if keys}, size)
+    best = Window.partitionBy("lang").orderBy(F.desc("n"), "key")
+    top = counts.withColumn("place", F.row_number().over(best)).where(F.col("place") <= size)
+    lists: dict[str, list[int]] = {}
+    for row in top.orderBy("lang", "place").select("lang", "key").collect():
+        lists.setdefault(row["lang"], []).append(row["key"])
+    return Profiles(lists, size)
 
 
 def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,15 +124,18 @@ def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_co
 
     A text that is null or has no letter gives "und" and 0, and so does an empty set of
     profiles; repeated rows and null ids are kept; an empty table gives an empty one; whole
-    texts are read however long.  Columns of ``docs`` named lang_pred or lang_score are replaced.
+    texts are read however long.  Columns of ``docs`` named lang_pred or lang_score are replaced;
+    other columns may share names, of which the first counts.
     """
     docs = docs.drop("lang_pred", "lang_score")
-    shared = docs.sparkSession.sparkContext.broadcast(profiles)
+    shared, at = docs.sparkSession.sparkContext.broadcast(profiles), docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text_col):
-            found = [shared.value.predict(t or "") for t in part.column(text_col).to_pylist()]
+        for part in slices(batches, at):
+            found = [shared.value.predict(t or "") for t in part.column(at).to_pylist()]
             new = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, "lang_pred", "lang_score"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())]))
+    apart = with_own_names(docs)
+    schema = StructType([*apart.schema.fields, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())])
+    return apart.mapInArrow(run, schema).toDF(*docs.columns, "lang_pred", "lang_score")
