@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from millrace.llm.common import slices, worker_cache
+from millrace.llm.common import slices, with_own_names, worker_cache
 from millrace.llm.langid import held_out
 
 BITS = 22
@@ -51,7 +51,7 @@ def _token(token: str, known: dict[str, tuple[int, str]]) -> tuple[int, str]:
         if len(known) >= _CACHE:
             known.clear()
         word = "".join(c for c in token.lower() if c.isalnum())
-        shape = "".join("X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c for c in token[:64])
+        shape = "".join("X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c for c in token)
         found = crc32(b"w" + word.encode()) & ((1 << BITS) - 1), _RUNS.sub(r"\1", shape)
         if len(token) <= 64:
             known[token] = found
@@ -138,23 +138,11 @@ def fit(documents: list[np.ndarray], grades: np.ndarray, n_grades: int = 3, leas
     place[chosen] = np.arange(len(chosen))
     column = place[column[keep]]
     # parameters: weights, first threshold, logs of the steps between thresholds
-    n, k = len(chosen), n_grades - 1
+    n = len(chosen)
     p = np.concatenate([np.zeros(n), start[:1], np.log(np.maximum(np.diff(start), 1e-3))])
     m, v = np.zeros_like(p), np.zeros_like(p)
     for t in range(1, rounds + 1):
-        steps = np.exp(p[n + 1 :])
-        theta = p[n] + np.concatenate([[0], np.cumsum(steps)])
-        z = np.bincount(row, p[column], len(documents))
-        tail = np.ones((len(z), k + 2))
-        tail[:, 1:-1] = 1 / (1 + np.exp(-np.clip(z[:, None] - theta, -50, 50)))
-        tail[:, -1] = 0
-        at = np.arange(len(z))
-        upper, lower = tail[at, grades], tail[at, grades + 1]
-        likely = np.maximum(upper - lower, 1e-12)
-        up, low = upper * (1 - upper) / likely, lower * (1 - lower) / likely
-        dz = -(up - low) / len(z)
-        dtheta = np.array([(up * (grades == j)).sum() - (low * (grades == j - 1)).sum() for j in range(1, k + 1)]) / len(z)
-        g = np.concatenate([np.bincount(column, dz[row], n) + penalty * p[:n], [dtheta.sum()], [steps[j] * dtheta[j + 1 :].sum() for j in range(k - 1)]])
+        _, g = loss(p, n, row, column, len(documents), grades, penalty)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         scale = rate / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         p -= scale * m / (1 - 0.9**t)
@@ -163,6 +151,29 @@ def fit(documents: list[np.ndarray], grades: np.ndarray, n_grades: int = 3, leas
     return Model(frequent[chosen][some], p[some], p[n] + np.concatenate([[0], np.cumsum(np.exp(p[n + 1 :]))]), marks)
 
 
+def loss(p: np.ndarray, n: int, row: np.ndarray, column: np.ndarray, documents: int, grades: np.ndarray, penalty: float) -> tuple[float, np.ndarray]:
+    """The mean negative log-likelihood with the quadratic penalty, and its gradient.
+
+    p: n weights, the first threshold and the logs of the steps between thresholds; row and
+    column: document and weight of each feature.
+    """
+    k = len(p) - n
+    steps = np.exp(p[n + 1 :])
+    theta = p[n] + np.concatenate([[0], np.cumsum(steps)])
+    z = np.bincount(row, p[column], documents)
+    tail = np.ones((documents, k + 2))
+    tail[:, 1:-1] = 1 / (1 + np.exp(-np.clip(z[:, None] - theta, -50, 50)))
+    tail[:, -1] = 0
+    at = np.arange(documents)
+    upper, lower = tail[at, grades], tail[at, grades + 1]
+    likely = np.maximum(upper - lower, 1e-12)
+    up, low = upper * (1 - upper) / likely, lower * (1 - lower) / likely
+    dz = -(up - low) / documents
+    dtheta = np.array([(up * (grades == j)).sum() - (low * (grades == j - 1)).sum() for j in range(1, k + 1)]) / documents
+    gradient = np.concatenate([np.bincount(column, dz[row], n) + penalty * p[:n], [dtheta.sum()], [steps[j] * dtheta[j + 1 :].sum() for j in range(k - 1)]])
+    return float(-np.log(likely).mean() + penalty / 2 * (p[:n] ** 2).sum()), gradient
+
+
 def _columns(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct buckets of all documents, and for each bucket of each document its place among them and the document."""
     frequent, column = np.unique(np.concatenate(documents), return_inverse=True)
@@ -180,7 +191,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 8000, id_col: str =
     """Fit on at most ``sample`` labelled documents that aren't held out, chosen by a hash of their ids.
 
     The chosen ids, ``sample`` at most, are broadcast; their features, not their texts,
-    go to the driver.  Of rows with one doc_id any may be read more than once.
+    go to the driver.  A document without a label and one without tokens, as with a null or
+    empty text, isn't learned from; rows with one doc_id are learned from each; documents
+    whose hashes tie are taken by id; empty tables give a model that knows no feature; whole
+    texts are read.
     """
     chosen = graded(labels).where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
@@ -201,17 +215,18 @@ def grade(docs: DataFrame, model: Model, tail_from: int = FAIR, least: float = 0
     p_tail is P(grade >= tail_from); a document is accepted if it is at least ``least``.  A
     text that is null or without tokens has grade 0 and isn't accepted; repeated rows and
     null ids are kept; an empty table gives an empty one; whole texts are read however long;
-    columns of ``docs`` with the new names are replaced.
+    columns of ``docs`` with the new names are replaced; others may share names, of which the first counts.
     """
     docs = docs.drop("expected_grade", "p_tail", "accepted")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text_col):
-            tails = [shared.value.tails(features(t or "")) for t in part.column(text_col).to_pylist()]
+        for part in slices(batches, at):
+            tails = [shared.value.tails(features(t or "")) for t in part.column(at).to_pylist()]
             high = [float(t[tail_from - 1]) for t in tails]
             new = [pa.array([float(t.sum()) for t in tails], pa.float64()), pa.array(high, pa.float64()), pa.array([h >= least for h in high], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, "expected_grade", "p_tail", "accepted"])
 
     added = [StructField("expected_grade", DoubleType()), StructField("p_tail", DoubleType()), StructField("accepted", BooleanType())]
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *added]))
+    apart = with_own_names(docs)
+    return apart.mapInArrow(run, StructType([*apart.schema.fields, *added])).toDF(*docs.columns, *(f.name for f in added))
