@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from millrace.llm import credentials, jaccard, langid, packing, quality
 from millrace.llm.common import shared_dir, table, written
 
-#: A document nearer to no language than this is in none of them.
-LEAST_LANGUAGE_SCORE = 0.2
+#: A document nearer to no language than this is in none of them.  Measured on the 0.1 tables: all 10,000 documents score at least
+#: 0.38, random Latin letters 0.17 to 0.20, other alphabets 0.
+LEAST_LANGUAGE_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
