@@ -64,14 +64,13 @@ def failures(session, text: str) -> list[str]:
 
 
 def main(paths: list[str]) -> int:
-    import tempfile
-
     from pyspark.sql import SparkSession
 
     from millrace.session import Session
+    from millrace.sources.shared import shared_dir
 
     spark = SparkSession.builder.appName("golden").getOrCreate()
-    session = Session(spark, tempfile.mkdtemp())
+    session = Session(spark, shared_dir(spark))
     wrong = 0
     for path in paths:
         with open(path) as file:
