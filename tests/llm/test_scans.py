@@ -479,6 +479,7 @@ def test_pipeline_stages(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    docs_schema = docs.schema
     columns, ids = docs.columns, []
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/stage-{k}")
@@ -490,4 +491,8 @@ def test_pipeline_stages(spark, tmp_path):
     assert ids[0] == clean | {200, 201, 204, 205} | set(range(300, 340))
     assert clean | {200, 201, 204} == ids[1]
     assert ids[2] == clean and ids[3] == clean and ids[4] == clean
+    odd = spark.createDataFrame([(None, rows[7][1], "aa", "s", 1), (7, rows[7][1] + " tail", "aa", "s", 1), (7, rows[8][1], "bb", "s", 2), (9, rows[7][1], None, "t", 3), (None, None, "x", "y", 0), (None, "", "x", "y", 0), (None, rows[11][1], "q", "r", 4)], docs_schema)
+    kept = sorted((r["doc_id"] or -1, r["lang"]) for r in corpus_pipeline.one_of_near_copies(spark, odd, "").collect())
+    assert kept == [(-1, "q"), (-1, "x"), (-1, "x"), (7, "aa"), (7, "bb")]
+    assert corpus_pipeline.one_of_near_copies(spark, odd.limit(0), "").collect() == []
     assert "password" not in " ".join(r["text"] for r in spark.read.parquet(f"{tmp_path}/stage-3").collect())
