@@ -160,7 +160,7 @@ def write(
     Returns the manifest, already written (see MANIFEST), one row a file; files follow each other in the
     order of ``part`` and ``file``.  file_ids: ids after which a task begins another file; a longer document
     has one to itself.  A null text counts as empty and holds the end id alone; null doc_ids come first;
-    rows with the same doc_id follow each other in the order of their texts; an empty table writes no file;
+    rows with the same doc_id follow each other in the order of their texts' hashes; an empty table writes no file;
     other columns are not read; texts of any length are encoded whole.  Nothing is renamed or replaced: a
     file's name holds its attempt, and only those of the attempts that Spark committed are in the manifest.
     """
@@ -183,9 +183,10 @@ def write(
         if writer is not None:
             yield _listed(writer, part, n, path, n_ids)
 
-    rows, key = texts(docs, id_col, text_col), F.col("doc_id").asc_nulls_first()
-    ordered = rows.repartitionByRange(partitions_for(rows), key, "text").sortWithinPartitions(key, "text")
-    return written(docs.sparkSession, ordered.mapInArrow(run, MANIFEST), folder, "manifest")
+    rows, key = texts(docs, id_col, text_col).withColumn("tie", F.xxhash64("text")), F.col("doc_id").asc_nulls_first()
+    # the hash lets ranges divide the rows of one id, and is all that the sample for them holds of a text
+    ordered = rows.repartitionByRange(partitions_for(rows), key, "tie").sortWithinPartitions(key, "tie", "text")
+    return written(docs.sparkSession, ordered.select("doc_id", "text").mapInArrow(run, MANIFEST), folder, "manifest")
 
 
 def _listed(writer: Writer, part: int, n: int, path: str, n_ids: int) -> pa.RecordBatch:

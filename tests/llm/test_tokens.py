@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -210,7 +211,7 @@ def test_files_hold_documents_in_order(spark, docs, tmp_path, bits):
     manifest = planes.write(docs, WORD, f"file://{tmp_path}/ids", end_id=2, bits=bits)
     rows = sorted((tuple(r) for r in planes.read(spark, manifest).collect()), key=lambda r: r[1])
     encode = library(WORD)
-    ordered = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    ordered = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, np.int64(np.uint64(42 if r[1] is None else xxhash.xxh64_intdigest(r[1].encode(), 42)))))
     start = 0
     for (key, begin, ids), (doc_id, text) in zip(rows, ordered, strict=True):
         expected = [*encode(text), 2]
