@@ -152,6 +152,32 @@ def test_a_merge_keeps_what_is_written_meanwhile(db, spark, monkeypatch):
     assert len(table.refresh().manifest.segments) == 1
 
 
+def test_writers_at_the_same_time_lose_no_rows(db, spark):
+    """Threads that commit against each other, merges included."""
+    import threading
+
+    sessions = [Session(spark, db.root.uri) for _ in range(3)]
+    tables = []
+    for session in sessions:
+        session.run("USE d")
+        tables.append(session.table("t"))
+    failed = []
+
+    def write(w):
+        try:
+            for k in range(7):
+                tables[w].put_rows([(100 * w + k, float(w), "x")])
+        except Exception as error:  # noqa: BLE001
+            failed.append(error)
+
+    threads = [threading.Thread(target=write, args=(w,)) for w in range(3)]
+    for thread in threads:
+        thread.start()
+    for thread in threads:
+        thread.join()
+    assert not failed and [r[0] for r in rows(db)] == sorted(100 * w + k for w in range(3) for k in range(7))
+
+
 def test_two_generators_get_different_numbers(db, spark):
     other = Session(spark, db.root.uri)
     other.run("USE d")
