@@ -174,7 +174,8 @@ def encode_decode(
     then: makes something else of each batch where it arises, such as ``digests``; ``schema`` describes that.
 
     A null text counts as empty and has no ids; repeated rows and null doc_ids are
-    kept as they are; an empty table gives an empty one; other columns are not read.
+    kept as they are; an empty table gives an empty one; texts of any length are encoded
+    whole; other columns are not read.
     The vocabulary is broadcast: its size is that of the vocabulary file.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(ranks))

@@ -143,6 +143,31 @@ def test_assign_places_everything_once(lengths, capacity):
     assert abs(sum(cost) - sum(put + 0.01 * put * put for _, _, put, _, _ in pieces)) < 1e-6
 
 
+def assigned_plainly(lengths, capacity, linear, quadratic):
+    """Look through all sequences for each piece: the largest piece goes to the cheapest sequence with room, else what fits to the cheapest with any."""
+    sizes = packing.sequence_sizes(sum(lengths), capacity)
+    room, cost, pieces = sizes.copy(), [0.0] * len(sizes), []
+    waiting = [(min(n - at, capacity), d, at) for d, n in enumerate(lengths) for at in range(0, n, capacity)]
+    while waiting:
+        length, d, at = min(waiting, key=lambda w: (-w[0], w[1], w[2]))
+        waiting.remove((length, d, at))
+        some = [s for s in range(len(sizes)) if room[s] >= length] or [s for s in range(len(sizes)) if room[s]]
+        s = min(some, key=lambda s: (cost[s], room[s], s))
+        put = min(length, room[s])
+        pieces.append((d, at, put, s, sizes[s] - room[s]))
+        room[s] -= put
+        cost[s] += linear * put + quadratic * put * put
+        if put < length:
+            waiting.append((length - put, d, at + put))
+    return pieces, sizes, cost
+
+
+@given(st.lists(st.integers(1, 150), max_size=30), st.sampled_from([16, 64]), st.sampled_from([(1.0, 0.01), (0.0, 1.0), (1.0, 0.0)]))
+@settings(max_examples=200, deadline=None)
+def test_assign_is_the_plain_greedy_rule(lengths, capacity, rates):
+    assert packing.assign(lengths, capacity, *rates) == assigned_plainly(lengths, capacity, *rates)
+
+
 def test_assign_balances_cost():
     rng = random.Random(2)
     lengths = [rng.randrange(20, 700) for _ in range(400)]
