@@ -209,8 +209,8 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     forms = found.where("form is not null").select("doc_id", "fingerprint", "form")
     heads = forms.join(buckets, "fingerprint").where("doc_id <=> first").groupBy("fingerprint").agg(F.min("form").alias("head"))
     other = forms.join(written(spark, heads, folder, "heads"), "fingerprint").where("form <> head")
-    other = other.select("fingerprint", "doc_id", F.sha2("form", 256).alias("bytes")).groupBy("fingerprint", "bytes").agg(F.min("doc_id").alias("other"))
-    other = written(spark, other, folder, "other")
+    other = written(spark, other.select("fingerprint", "doc_id", F.sha2("form", 256).alias("bytes")), folder, "differing")  # an aggregate on top would bind the join's hot buckets to one task each
+    other = written(spark, other.groupBy("fingerprint", "bytes").agg(F.min("doc_id").alias("other")), folder, "other")
     columns = [c.split()[0] for c in PAIRS.split(", ")]
     if other.isEmpty():
         return found.select(*columns).join(buckets, "fingerprint", "left").select(*columns, F.coalesce("first", "doc_id").alias("copy_of"))
