@@ -31,6 +31,9 @@ RANGES = 4
 TARGET = 128 << 20
 #: Rows from which one doc_id may be split.
 MANY_ROWS = 1000
+#: Ranges at most: the driver holds the first id of each.  Beyond that they grow.
+MOST_RANGES = 1 << 16
+_MOST_HASH = (1 << 64) - 1
 _NONE = -(1 << 63)  # stands for a null doc_id: behind all others in descending order
 
 
@@ -102,8 +105,8 @@ class _Ranges:
 def _ranges(prints: DataFrame) -> tuple[_Ranges, int]:
     """Ranges for the rows of ``prints``, and the partitions to deal them to."""
     total, rows = prints.agg(F.sum("size"), F.count("*")).first()
-    partitions = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // TARGET))
-    n = RANGES * partitions
+    partitions = min(max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // TARGET)), MOST_RANGES)
+    n = min(RANGES * partitions, MOST_RANGES)
     keys = prints.select(F.coalesce("doc_id", F.lit(_NONE)).alias("key"))
     cuts = keys.select(F.col("key").cast("double").alias("key")).approxQuantile("key", [k / n for k in range(1, n)], 0.1 / n)
     many = keys.groupBy("key").count().where(F.col("count") > max(MANY_ROWS, rows // n)).orderBy(F.desc("count")).limit(n).collect()  # no more than n keys can have so many
@@ -128,13 +131,13 @@ def _with_next(docs: DataFrame, marked: DataFrame, prints: DataFrame) -> DataFra
             hashes = ranges.hashes(keys, part)
             for b, k, h in zip(ranges.of(keys, hashes).tolist(), keys.tolist(), hashes.tolist(), strict=True):
                 best[b] = min(best.get(b, (-k, h)), (-k, h))
-        columns = [pa.array(list(best), pa.int32()), pa.array([-k for k, _ in best.values()], pa.int64()), pa.array([str(h) for _, h in best.values()])]
-        yield pa.RecordBatch.from_arrays(columns, ["bucket", "key", "hash"])
+        columns = [pa.array(list(best), pa.int32()), pa.array([-k for k, _ in best.values()], pa.int64()), pa.array([f"{_MOST_HASH - h:020d}" for _, h in best.values()])]
+        yield pa.RecordBatch.from_arrays(columns, ["bucket", "key", "back"])
 
-    asked = rows.select("key", *(["text"] if ranges.heavy else []))
-    order = sorted((r["bucket"], -r["key"], int(r["hash"])) for r in asked.mapInArrow(tops, "bucket int, key long, hash string").collect())
-    heads = [x for k, x in enumerate(order) if not k or order[k - 1][0] != x[0]]
-    before = {(-key, h): heads[k - 1][0] for k, (_, key, h) in enumerate(heads)}  # the first range's head follows the last one
+    asked = rows.select("key", *(["text"] if ranges.heavy else [])).mapInArrow(tops, "bucket int, key long, back string")
+    heads = asked.groupBy("bucket").agg(F.max(F.struct("key", "back")).alias("top")).collect()  # a row a range
+    order = sorted((r["bucket"], r["top"]["key"], _MOST_HASH - int(r["top"]["back"])) for r in heads)
+    before = {(key, h): order[k - 1][0] for k, (_, key, h) in enumerate(order)}  # the first range's head follows the last one
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
