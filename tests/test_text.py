@@ -27,7 +27,7 @@ def test_prompt(session):
     lines, out = iter(["SELECT 1,", "2.5;", "SELECT nope;", "quit;"]), []
     cli.loop(session, lambda prompt: next(lines), out.append)
     text = "\n".join(out)
-    assert "Total Rows: 1 Columns: 2" in text and "2.500000" in text and "column nope not exist" in text and out[-1] == "Bye."
+    assert "Total Rows: 1 Columns: 2" in text and "2.500000" in text and "no column nope" in text and out[-1] == "Bye."
 
 
 def test_box():
