@@ -68,7 +68,7 @@ _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if 0x09 <= b <= 0x0D else b
 #: Distinct words whose hashes a worker keeps.
 WORDS = 200_000
 #: Bytes of text whose signatures go to a bucket, for inputs of less than MANY buckets and beyond.
-BUCKET_BYTES, LARGE_BUCKET_BYTES, MANY = 32 << 20, 256 << 20, 20_000
+BUCKET_BYTES, LARGE_BUCKET_BYTES, MANY = 16 << 20, 256 << 20, 20_000
 
 
 class _Words(dict):
@@ -513,7 +513,9 @@ class Join:
         every = self.keep(every, "elements")
         sizes = every.groupBy("a", "element").agg(F.count("*").alias("k"), F.max("outside").alias("some"), (F.min("of_b") < F.max("of_b")).alias("spans"))
         sizes = self.keep(sizes.where("some and spans").select("a", "element", "k"), "sizes")
-        every = self.keep(every.join(sizes, ["a", "element"]), "shared")
+        # of a hot element only the holders outside count
+        same = (every["a"] == sizes["a"]) & (every["element"] == sizes["element"]) & ((sizes["k"] <= self.hot) | every["outside"])
+        every = self.keep(every.join(sizes, same).select(every["*"], "k"), "shared")
         warm = every.where((F.col("k") > self.hot) & F.col("outside")).groupBy("a", "b")
         warm = self.keep(warm.agg(F.count("*").alias("h"), F.sum("is_own").alias("h_own"), F.max("need").alias("need"), F.max("need_own").alias("need_own")), "warm")
         cold = every.where(F.col("k") <= self.hot)
