@@ -266,8 +266,12 @@ def _met_table(kind: int, x, y, level, n, need_x, need_y) -> pa.Table:
     return pa.table([pa.array(c) for c in columns], names=_MET_NAMES)
 
 
-def meet(signature: np.ndarray, who: np.ndarray, mark: np.ndarray, hot: int, known: np.ndarray | None) -> list[pa.Table]:
-    """Pairs of sets that share signatures, hot counts and hot members.  known: sorted signatures that are hot whatever comes in; None: all."""
+def meet(signature: np.ndarray, who: np.ndarray, mark: np.ndarray, hot: int, known: np.ndarray | None, share: int = 1) -> list[pa.Table]:
+    """Pairs of sets that share signatures, hot counts and hot members.
+
+    known: sorted signatures that are hot whatever comes in; None: all.  One in ``share`` of a signature's
+    holders comes in here; their number only ranks the sets that may become heads.
+    """
     order = np.lexsort((who, signature))
     signature, who, need, inside = signature[order], who[order], mark[order].astype(np.int64) >> 1, mark[order] & 1 == 1
     again = np.zeros(len(signature), bool)
@@ -297,7 +301,7 @@ def meet(signature: np.ndarray, who: np.ndarray, mark: np.ndarray, hot: int, kno
         out.append(_met_table(1, who[a[at]], who[b[at]], level[at], counts, need[a[at]], need[b[at]]))
     is_hot = np.repeat(hot_here, length)
     if is_hot.any():
-        signature, who, need, holders = signature[is_hot], who[is_hot], need[is_hot], np.repeat(length, length)[is_hot]
+        signature, who, need, holders = signature[is_hot], who[is_hot], need[is_hot], np.repeat(length * share, length)[is_hot]
         level = (signature & np.uint64((1 << _LEVEL_BITS) - 1)).astype(np.int64)
         order = np.lexsort((level, who))
         w, v, d, k = who[order], level[order], need[order], holders[order]
@@ -307,7 +311,7 @@ def meet(signature: np.ndarray, who: np.ndarray, mark: np.ndarray, hot: int, kno
     return out
 
 
-def _bucket(table: pa.Table, hot: int) -> pa.Table:
+def _bucket(table: pa.Table, hot: int, buckets: int) -> pa.Table:
     of = lambda role: table.filter(pc.equal(table.column("role"), role))
     read = lambda t, c, kind=np.int64: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
     docs, known = of(0), np.unique(unpacked(b"".join(of(3).column("signatures").to_pylist())))
@@ -326,7 +330,7 @@ def _bucket(table: pa.Table, hot: int) -> pa.Table:
         else:
             chosen = np.arange(len(signature))
         row = np.repeat(np.arange(len(counts)), counts)[chosen]
-        out += meet(signature[chosen], read(rest, "entities")[row], read(rest, "marks", np.uint16)[row], hot, known if role == 1 else None)
+        out += meet(signature[chosen], read(rest, "entities")[row], read(rest, "marks", np.uint16)[row], hot, *((known, 1) if role == 1 else (None, buckets)))
     return pa.concat_tables(out)
 
 
@@ -404,7 +408,7 @@ class Join:
             yield from gathered.batches()
 
         dealt = self.docs.mapInArrow(deal, _DEALT)
-        return dealt.repartition(2 * buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _bucket(t, hot), _MET)
+        return dealt.repartition(2 * buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _bucket(t, hot, buckets), _MET)
 
     def candidates(self, met: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Candidate pairs (a, b), and (entity, level, need, head, c, dropped) of the sets that hot signatures may hide.
