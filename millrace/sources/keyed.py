@@ -164,7 +164,7 @@ class KeyedTable:
         if not self.spark.catalog.tableExists(known):
             columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self._full)
             key = f"`{self.manifest.key}`"
-            uri = path if "://" in path else f"file://{path}"
+            uri = (path if "://" in path else f"file://{path}").replace("\\", "\\\\").replace("'", "\\'")
             self.spark.sql(f"CREATE TABLE IF NOT EXISTS {known} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {segment.buckets} BUCKETS LOCATION '{uri}'")
         return self.spark.table(known)
 
