@@ -34,6 +34,13 @@ def written(spark: SparkSession, df: DataFrame, folder: str, name: str) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete tables or folders that nothing reads any more."""
+    for path in paths:
+        found = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def remove_shared(spark: SparkSession) -> int:
     """Delete the folders that this driver process has made by ``shared_dir``; returns their number.
 
@@ -41,6 +48,5 @@ def remove_shared(spark: SparkSession) -> int:
     """
     n = len(_made)
     while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        discard(spark, _made.pop())
     return n
