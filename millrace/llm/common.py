@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.sources.shared import remove_shared, shared_dir, written  # noqa: F401
+from millrace.sources.shared import discard, remove_shared, shared_dir, written  # noqa: F401
 
 T = TypeVar("T")
 

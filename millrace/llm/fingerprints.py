@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import shared_dir, slices, texts, written
+from millrace.llm.common import discard, shared_dir, slices, texts, written
 
 #: Ranges per shuffle partition; small ranges even the partitions out.
 RANGES = 4
@@ -215,6 +215,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     other = written(spark, other.select("fingerprint", "doc_id", F.sha2("form", 256).alias("bytes")), folder, "differing")  # an aggregate on top would bind the join's hot buckets to one task each
     other = written(spark, other.groupBy("fingerprint", "bytes").agg(F.min("doc_id").alias("other")), folder, "other")
     columns = [c.split()[0] for c in PAIRS.split(", ")]
+    discard(spark, *(f"{folder}/{name}" for name in ("prints", "heads", "differing")))
     if other.isEmpty():
         return found.select(*columns).join(buckets, "fingerprint", "left").select(*columns, F.coalesce("first", "doc_id").alias("copy_of"))
     bytes_of = found.select(*columns, F.sha2("form", 256).alias("bytes")).join(buckets, "fingerprint", "left").join(other.withColumn("differs", F.lit(True)), ["fingerprint", "bytes"], "left")

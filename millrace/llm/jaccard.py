@@ -50,7 +50,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import shared_dir, slices, texts, worker_cache, written
+from millrace.llm.common import discard, shared_dir, slices, texts, worker_cache, written
 
 #: Signatures that a task gathers before it hands them on.
 FLUSH = 500_000
@@ -343,14 +343,19 @@ class Join:
     def __init__(self, docs: DataFrame, num: int, den: int, shingle: int, hot: int):
         self.spark: SparkSession = docs.sparkSession
         self.docs, self.num, self.den, self.shingle, self.hot = docs, num, den, shingle, hot
-        self.folder = shared_dir(self.spark)
+        self.folder, self.kept = shared_dir(self.spark), []
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         least = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 2 * self.spark.sparkContext.defaultParallelism)
         self.buckets = max(1, least, min(-(-size // BUCKET_BYTES), MANY), -(-size // LARGE_BUCKET_BYTES))
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.kept.append(name)
         return written(self.spark, df, self.folder, name)
 
+    def discard(self, *needed: str) -> None:
+        """Delete the tables that the result isn't read from."""
+        discard(self.spark, *(f"{self.folder}/{name}" for name in self.kept if name not in needed))
+
     def run(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(doc_id, entity, n_shingles), (entity, first): the smallest doc_id of each entity, (entity, component)."""
         met = self.keep(self.meetings(), "met")
@@ -593,7 +598,9 @@ def components(docs: DataFrame, num: int = 75, den: int = 100, shingle: int = 5,
     counts, once; an empty table gives an empty one; whole texts are read; other columns are not.
     """
     join = Join(_rows(docs, id_col, text_col), num, den, shingle, hot)
-    return _named(join, *join.run())
+    found = _named(join, *join.run())
+    join.discard("met", "documents", "named")
+    return found
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from millrace.llm.common import shared_dir, slices, with_own_names, worker_cache, written
+from millrace.llm.common import discard, shared_dir, slices, with_own_names, worker_cache, written
 
 UNDETERMINED = "und"
 _BITS = 21  # of a code point; three of them fit into 63 bits
@@ -110,12 +110,14 @@ def learn(docs: DataFrame, size: int = 300, sample: int = 1000, id_col: str = "d
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(counts)], ["lang", "key", "n"])
 
     counts = chosen.select("lang", "text").mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    counts = written(spark, counts, shared_dir(spark), "ngrams")
+    folder = shared_dir(spark)
+    counts = written(spark, counts, folder, "ngrams")
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "key")
     top = counts.withColumn("place", F.row_number().over(best)).where(F.col("place") <= size)
     lists: dict[str, list[int]] = {}
     for row in top.orderBy("lang", "place").select("lang", "key").collect():
         lists.setdefault(row["lang"], []).append(row["key"])
+    discard(spark, folder)
     return Profiles(lists, size)
 
 
