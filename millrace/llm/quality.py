@@ -1,8 +1,9 @@
 """Quality classifier by ordinal cumulative-link regression [operator 9].
 
-A document is the set of its hashed text features: its lower-cased words, the
-shapes of its tokens with their share of the text on a log scale, and how often a
-token follows itself.  All grades share one weight for each feature; ordered
+A document is the set of its hashed text features: its lower-cased words, the stems of
+its longer words with whether they occur once, twice or more often, the shapes of its
+tokens with their share of the text on a log scale, and how often a token follows
+itself.  Stems see inflected words, each form of which may be too rare to tell anything.  All grades share one weight for each feature; ordered
 thresholds separate them: P(grade >= j) = logistic(w.x - threshold_j).  The
 expected grade and the tail probabilities follow.
 
@@ -34,6 +35,9 @@ BITS = 22
 _RUNS = re.compile(r"(.)\1+")
 _CACHE = 300_000
 
+#: Letters of the stem that a longer word has, and occurrences of it that are told apart.
+STEM, STEM_COUNTS = 5, 3
+
 #: Grades from low to high.
 LOW, FAIR, GOOD = 0, 1, 2
 
@@ -44,15 +48,16 @@ MARK_DEVIATIONS, MARK_SHARE = 6, 0.05
 LEAST_SCORE = 4
 
 
-def _token(token: str, known: dict[str, tuple[int, str]]) -> tuple[int, str]:
-    """The hash bucket of a token's word and the token's shape."""
+def _token(token: str, known: dict[str, tuple[int, int | None, str]]) -> tuple[int, int | None, str]:
+    """The hash buckets of a token's word and of its stem, if it has one, and the token's shape."""
     found = known.get(token)
     if found is None:
         if len(known) >= _CACHE:
             known.clear()
         word = "".join(c for c in token.lower() if c.isalnum())
         shape = "".join("X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c for c in token)
-        found = crc32(b"w" + word.encode()) & ((1 << BITS) - 1), _RUNS.sub(r"\1", shape)
+        stem = crc32(b"p" + word[:STEM].encode()) & ((1 << BITS) - 1) if len(word) > STEM else None
+        found = crc32(b"w" + word.encode()) & ((1 << BITS) - 1), stem, _RUNS.sub(r"\1", shape)
         if len(token) <= 64:
             known[token] = found
     return found
@@ -63,12 +68,16 @@ def features(text: str) -> np.ndarray:
     tokens = text.split()
     if not tokens:
         return np.empty(0, np.int64)
-    buckets, shapes = set(), Counter()
+    buckets, shapes, stems = set(), Counter(), Counter()
     known = worker_cache("quality", dict)
     for token, n in Counter(tokens).items():
-        bucket, shape = _token(token, known)
+        bucket, stem, shape = _token(token, known)
         buckets.add(bucket)
         shapes[shape] += n
+        if stem is not None:
+            stems[stem] += n
+    for k in range(STEM_COUNTS):
+        buckets.update([stem + k * 0x9E3779 & (1 << BITS) - 1 for stem, n in stems.items() if n > k])
     again = sum(map(str.__eq__, tokens, tokens[1:]))
     named = [(f"s{shape}", n) for shape, n in shapes.items()] + [("again", again)] * (again > 0)
     level = lambda n: int(log2(len(tokens) / n))
