@@ -22,7 +22,9 @@ so x and y must share elements of their differences: at least half of what |D(x)
 a link with b, at least |D(x)| less the most differences of x with any partner, and of
 x's elements outside b at least num/den * |x| - |x & b|.  Differences of independent edits
 hardly meet, so an index of their elements finds the partners, unless elements that more
-than ``hot`` sets share could make up all that is needed.  One head of the many that a pair
+than ``hot`` sets share could make up all that is needed.  If x and y must share elements
+outside b, x asks for those alone.  Of what is found, sizes, differences and parity sketches
+leave the pairs that can be similar enough.  One head of the many that a pair
 has in common suffices, so this matters only where it holds, with the dropped ones, for at least
 half of the need of x; those sets are compared with all under such a head whose differences have
 a possible size and parity sketch.
@@ -501,7 +503,7 @@ class Join:
 
     def around(self, compared: DataFrame, labels: DataFrame, led: DataFrame) -> DataFrame:
         """Candidate pairs among sets compared with the same heads, for those outside a head's component."""
-        names = ["a", "b", "of_b", "outside", "need", "need_own"]
+        names = ["a", "b", "of_b", "outside", "own_alone", "need"]
 
         def elements(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in slices(batches, "own"):
@@ -515,35 +517,39 @@ class Join:
         of = lambda name: labels.select(F.col("entity").alias(name), F.col("component").alias(f"of_{name}"))
         placed = compared.join(of("b"), "b", "left").join(of("a"), "a", "left").withColumn("of_b", F.coalesce("of_b", "b"))
         d = ((F.octet_length("own") + F.octet_length("missing")) / 8).cast("long")
-        placed = placed.select("a", "b", "of_b", (F.coalesce("of_a", "a") != F.col("of_b")).alias("outside"), "need", "need_own", "own", "missing", "size", d.alias("d"), *_PARITY)
+        placed = placed.select("a", "b", "of_b", (F.coalesce("of_a", "a") != F.col("of_b")).alias("outside"), (F.col("need_own") > 0).alias("own_alone"), F.when(F.col("need_own") > 0, F.col("need_own")).otherwise(F.col("need")).alias("need"), "own", "missing", "size", d.alias("d"), *_PARITY)
         placed = self.keep(placed, "placed")
         useful = placed.join(self.keep(placed.where("outside").select("a").distinct(), "open"), "a")
-        every = useful.select(*names, "own", "missing").mapInArrow(elements, "a long, b long, of_b long, outside boolean, need long, need_own long, element long, is_own long")
+        every = useful.select(*names, "own", "missing").mapInArrow(elements, "a long, b long, of_b long, outside boolean, own_alone boolean, need long, element long, is_own long")
+        # a set outside asks for partners by what the head lacks if they must share some of that, else by all of its difference
+        every = every.withColumn("asks", F.col("outside") & ((F.col("is_own") == 1) | ~F.col("own_alone"))).drop("outside", "own_alone", "is_own")
         every = self.keep(every, "elements")
-        sizes = every.groupBy("a", "element").agg(F.count("*").alias("k"), F.max("outside").alias("some"), (F.min("of_b") < F.max("of_b")).alias("spans"))
+        sizes = every.groupBy("a", "element").agg(F.count("*").alias("k"), F.max("asks").alias("some"), (F.min("of_b") < F.max("of_b")).alias("spans"))
         sizes = self.keep(sizes.where("some and spans").select("a", "element", "k"), "sizes")
-        # of a hot element only the holders outside count
-        same = (every["a"] == sizes["a"]) & (every["element"] == sizes["element"]) & ((sizes["k"] <= self.hot) | every["outside"])
+        # of a hot element only the holders that ask count
+        same = (every["a"] == sizes["a"]) & (every["element"] == sizes["element"]) & ((sizes["k"] <= self.hot) | every["asks"])
         every = self.keep(every.join(sizes, same).select(every["*"], "k"), "shared")
-        warm = every.where((F.col("k") > self.hot) & F.col("outside")).groupBy("a", "b")
-        warm = self.keep(warm.agg(F.count("*").alias("h"), F.sum("is_own").alias("h_own"), F.max("need").alias("need"), F.max("need_own").alias("need_own")), "warm")
+        warm = every.where((F.col("k") > self.hot) & F.col("asks")).groupBy("a", "b").agg(F.count("*").alias("h"), F.max("need").alias("need"))
+        warm = self.keep(warm, "warm")
         cold = every.where(F.col("k") <= self.hot)
-        x = cold.where("outside").select("a", "element", "is_own", F.col("b").alias("x"), F.col("of_b").alias("of_x"), "need", "need_own")
+        x = cold.where("asks").select("a", "element", F.col("b").alias("x"), F.col("of_b").alias("of_x"), "need")
         y = cold.select("a", "element", F.col("b").alias("y"), F.col("of_b").alias("of_y"))
-        met = x.join(y, ["a", "element"]).where("of_x <> of_y").groupBy("a", "x", "y")
-        met = met.agg(F.count("*").alias("n"), F.sum("is_own").alias("n_own"), F.max("need").alias("need"), F.max("need_own").alias("need_own"))
-        met = met.join(warm.select("a", F.col("b").alias("x"), "h", "h_own"), ["a", "x"], "left").where("n >= need - coalesce(h, 0) and n_own >= need_own - coalesce(h_own, 0)")
+        met = x.join(y, ["a", "element"]).where("of_x <> of_y").groupBy("a", "x", "y").agg(F.count("*").alias("n"), F.max("need").alias("need"))
+        met = met.join(warm.select("a", F.col("b").alias("x"), "h"), ["a", "x"], "left").where("n >= need - coalesce(h, 0)")
+        sketch = lambda name: [F.col("b").alias(name), F.col("of_b").alias(f"of_{name}"), F.col("size").alias(f"size_{name}"), F.col("d").alias(f"d_{name}")]
+        of_x = placed.select("a", *sketch("x"), *[F.col(p).alias(f"x{p}") for p in _PARITY])
+        of_y = placed.select("a", *sketch("y"), *_PARITY)
+        num, den = self.num, self.den
+        apart = " + ".join(f"bit_count(x{p} ^ {p})" for p in _PARITY)  # at most |x ^ y|
+        near = f"least(size_x, size_y) * {den} >= greatest(size_x, size_y) * {num} and abs(d_x - d_y) * {den + num} <= (size_x + size_y) * {den - num} and ({apart}) * {den + num} <= (size_x + size_y) * {den - num}"
+        met = self.keep(met.select("a", "x", "y"), "hits").join(of_x, ["a", "x"]).join(of_y, ["a", "y"]).where(near)
         # sets whose need hot elements may cover under heads that have half of their signatures
-        doubtful = self.keep(warm.where("h >= need and h_own >= need_own").select(F.col("a").alias("head"), F.col("b").alias("entity")), "doubtful")
+        doubtful = self.keep(warm.where("h >= need").select(F.col("a").alias("head"), F.col("b").alias("entity")), "doubtful")
         unsettled = led.join(doubtful, ["head", "entity"]).groupBy("entity", "level").agg(F.sum(F.col("c")).alias("u"), F.max("dropped").alias("dropped"), F.min("need").alias("need"))
         unsettled = self.keep(unsettled.where("2 * (u + dropped) >= need").select("entity").distinct(), "unsettled")
         mine = doubtful.join(unsettled, "entity").select(F.col("head").alias("a"), F.col("entity").alias("b"))
-        x = self.keep(placed.join(mine, ["a", "b"]).select("a", F.col("b").alias("x"), F.col("of_b").alias("of_x"), F.col("size").alias("size_x"), F.col("d").alias("d_x"), *[F.col(p).alias(f"x{p}") for p in _PARITY]), "rest")
-        y = placed.select("a", F.col("b").alias("y"), F.col("of_b").alias("of_y"), F.col("size").alias("size_y"), F.col("d").alias("d_y"), *_PARITY)
-        num, den = self.num, self.den
-        apart = " + ".join(f"bit_count(x{p} ^ {p})" for p in _PARITY)  # at most |x ^ y|
-        near = f"least(size_x, size_y) * {den} >= greatest(size_x, size_y) * {num} and abs(d_x - d_y) * {den + num} <= (size_x + size_y) * {den - num} and ({apart}) * {den + num} <= (size_x + size_y) * {den - num}"
-        rest = x.join(y, "a").where(f"of_x <> of_y and {near}")
+        x = self.keep(of_x.join(mine.withColumnRenamed("b", "x"), ["a", "x"]), "rest")
+        rest = x.join(of_y, "a").where(f"of_x <> of_y and {near}")
         return self.keep(met.select("x", "y").union(rest.select("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "close")
 
     def components(self, links: DataFrame, known: DataFrame | None, name: str) -> DataFrame:
