@@ -16,17 +16,19 @@ with h >= need: members of large groups of near copies.  Each hot signature has
 the set that shares most signatures with others.  A set keeps those of its heads that have
 most of its hot signatures, until what it drops is less than a quarter of its need, and is
 compared with them; since a pair has need signatures in common, it keeps a head in common.
-Take two sets x and y that link with each other and share a signature under head b, and let
-x lie outside b's component.  With D(x) the difference of x and b, |x ^ y| = |D(x) ^ D(y)|,
+The heads of one component then stand for one another: all sets under any of them are compared
+with one, so a set counts once for each component, however many heads its signatures have there.
+Take two sets x and y that link with each other and share a signature under the heads that b
+stands for, and let x lie outside b's component.  With D(x) the difference of x and b, |x ^ y| = |D(x) ^ D(y)|,
 so x and y must share elements of their differences: at least half of what |D(x)| is beyond
 a link with b, at least |D(x)| less the most differences of x with any partner, and of
 x's elements outside b at least num/den * |x| - |x & b|.  Differences of independent edits
 hardly meet, so an index of their elements finds the partners, unless elements that more
 than ``hot`` sets share could make up all that is needed.  If x and y must share elements
 outside b, x asks for those alone.  Of what is found, sizes, differences and parity sketches
-leave the pairs that can be similar enough.  One head of the many that a pair
+leave the pairs that can be similar enough.  One component of those whose heads a pair
 has in common suffices, so this matters only where it holds, with the dropped ones, for at least
-half of the need of x; those sets are compared with all under such a head whose differences have
+half of the need of x; those sets are compared with all under such heads whose differences have
 a possible size and parity sketch.
 
 A signature that more than ``hot`` sets share within what a task has gathered is hot without
@@ -368,12 +370,12 @@ class Join:
         self.sets = self.keep(self.entity_sets(entities, pairs.union(star)), "sets")
         # first each set with its least candidate, which joins most of a group; then what still lies apart
         both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        compared = self.keep(self.compared(star), "compared")
-        links = self.verified(both.groupBy("a").agg(F.min("b").alias("b"))).union(compared.where("linked").select("a", "b"))
+        links = self.verified(both.groupBy("a").agg(F.min("b").alias("b")).union(star))
         labels = self.components(links, None, "first")
         labels = self.components(self.verified(self.keep(self.apart(pairs, labels), "apart")), labels, "second")
-        if not compared.isEmpty():
-            pairs = self.around(compared, labels, led)
+        grouped = self.keep(self.grouped(star, labels), "grouped")
+        if not grouped.isEmpty():
+            pairs = self.around(grouped, labels, led)
             labels = self.components(self.verified(self.keep(self.apart(pairs, labels), "across")), labels, "third")
         return documents, entities, labels
 
@@ -474,6 +476,15 @@ class Join:
 
         return self.with_sets(edges).mapInArrow(test, "a long, b long")
 
+    def grouped(self, star: DataFrame, labels: DataFrame) -> DataFrame:
+        """(head, a): for the heads of each component that some set under them lies outside, the one head a that stands for them, under which most sets are."""
+        of = lambda name: labels.select(F.col("entity").alias(name), F.col("component").alias(f"of_{name}"))
+        placed = star.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b"))
+        heads = placed.groupBy("of_a", "a").agg(F.count("*").alias("k"), F.max(F.col("of_a") != F.col("of_b")).alias("open"))
+        heads = self.keep(heads, "component-heads")
+        chosen = heads.groupBy("of_a").agg(F.max(F.struct("k", "a"))["a"].alias("chosen"), F.max("open").alias("open")).where("open")
+        return heads.join(chosen.select("of_a", "chosen"), "of_a").select(F.col("a").alias("head"), F.col("chosen").alias("a"))
+
     def compared(self, star: DataFrame) -> DataFrame:
         """(a, b, linked, size, need, need_own, own, missing) for each pair with a head a; size: of b.  Behind them p0, p1, ...: the parity sketch of the difference.
 
@@ -501,8 +512,8 @@ class Join:
         kinds = ", ".join(f"{p} long" for p in _PARITY)
         return self.with_sets(star).mapInArrow(test, f"a long, b long, linked boolean, size long, need long, need_own long, own binary, missing binary, {kinds}")
 
-    def around(self, compared: DataFrame, labels: DataFrame, led: DataFrame) -> DataFrame:
-        """Candidate pairs among sets compared with the same heads, for those outside a head's component."""
+    def around(self, grouped: DataFrame, labels: DataFrame, led: DataFrame) -> DataFrame:
+        """Candidate pairs among sets under heads of the same component, for those outside it."""
         names = ["a", "b", "of_b", "outside", "own_alone", "need"]
 
         def elements(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -515,9 +526,12 @@ class Join:
                     yield pa.RecordBatch.from_arrays(columns, [*names, "element", "is_own"])
 
         of = lambda name: labels.select(F.col("entity").alias(name), F.col("component").alias(f"of_{name}"))
+        led = self.keep(led.where("entity <> head").join(grouped, "head").groupBy("a", "entity", "level").agg(F.sum("c").alias("c"), F.min("need").alias("need"), F.max("dropped").alias("dropped")), "led-grouped")
+        compared = self.compared(self.keep(led.where("entity <> a").select("a", F.col("entity").alias("b")).distinct(), "groups"))
         placed = compared.join(of("b"), "b", "left").join(of("a"), "a", "left").withColumn("of_b", F.coalesce("of_b", "b"))
+        beyond = F.coalesce("of_a", "a") != F.col("of_b")
         d = ((F.octet_length("own") + F.octet_length("missing")) / 8).cast("long")
-        placed = placed.select("a", "b", "of_b", (F.coalesce("of_a", "a") != F.col("of_b")).alias("outside"), (F.col("need_own") > 0).alias("own_alone"), F.when(F.col("need_own") > 0, F.col("need_own")).otherwise(F.col("need")).alias("need"), "own", "missing", "size", d.alias("d"), *_PARITY)
+        placed = placed.select("a", "b", "of_b", (beyond & ~F.col("linked")).alias("outside"), (beyond & F.col("linked")).alias("joins"), (F.col("need_own") > 0).alias("own_alone"), F.when(F.col("need_own") > 0, F.col("need_own")).otherwise(F.col("need")).alias("need"), "own", "missing", "size", d.alias("d"), *_PARITY)
         placed = self.keep(placed, "placed")
         useful = placed.join(self.keep(placed.where("outside").select("a").distinct(), "open"), "a")
         every = useful.select(*names, "own", "missing").mapInArrow(elements, "a long, b long, of_b long, outside boolean, own_alone boolean, need long, element long, is_own long")
@@ -544,13 +558,14 @@ class Join:
         near = f"least(size_x, size_y) * {den} >= greatest(size_x, size_y) * {num} and abs(d_x - d_y) * {den + num} <= (size_x + size_y) * {den - num} and ({apart}) * {den + num} <= (size_x + size_y) * {den - num}"
         met = self.keep(met.select("a", "x", "y"), "hits").join(of_x, ["a", "x"]).join(of_y, ["a", "y"]).where(near)
         # sets whose need hot elements may cover under heads that have half of their signatures
-        doubtful = self.keep(warm.where("h >= need").select(F.col("a").alias("head"), F.col("b").alias("entity")), "doubtful")
-        unsettled = led.join(doubtful, ["head", "entity"]).groupBy("entity", "level").agg(F.sum(F.col("c")).alias("u"), F.max("dropped").alias("dropped"), F.min("need").alias("need"))
+        doubtful = self.keep(warm.where("h >= need").select("a", F.col("b").alias("entity")), "doubtful")
+        unsettled = led.join(doubtful, ["a", "entity"]).groupBy("entity", "level").agg(F.sum(F.col("c")).alias("u"), F.max("dropped").alias("dropped"), F.min("need").alias("need"))
         unsettled = self.keep(unsettled.where("2 * (u + dropped) >= need").select("entity").distinct(), "unsettled")
-        mine = doubtful.join(unsettled, "entity").select(F.col("head").alias("a"), F.col("entity").alias("b"))
+        mine = doubtful.join(unsettled, "entity").select("a", F.col("entity").alias("b"))
         x = self.keep(of_x.join(mine.withColumnRenamed("b", "x"), ["a", "x"]), "rest")
         rest = x.join(of_y, "a").where(f"of_x <> of_y and {near}")
-        return self.keep(met.select("x", "y").union(rest.select("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "close")
+        found = met.select("x", "y").union(rest.select("x", "y")).union(placed.where("joins").select("a", "b"))
+        return self.keep(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "close")
 
     def components(self, links: DataFrame, known: DataFrame | None, name: str) -> DataFrame:
         """(entity, component): the least entity that links reach, for the entities that have any; known: of earlier links."""

@@ -106,6 +106,31 @@ def test_different_sets_of_one_name_are_told_apart(spark, monkeypatch):
         cloudpickle.unregister_pickle_by_value(jaccard)
 
 
+def test_a_set_counts_once_for_all_heads_of_a_component(spark):
+    """A chain of near copies has many heads; sets that share signatures with them and lie outside are compared with one."""
+    rng = random.Random(11)
+    chain, texts = words(rng, 200), []
+    for _ in range(60):
+        chain = edited(rng, chain, 0.006)
+        texts += [edited(rng, chain, 0.005) for _ in range(4)]
+        beside = chain[:110] + words(rng, 70)  # no near copy of the chain, but of each other
+        texts += [beside, edited(rng, beside, 0.01)]
+    rng.shuffle(texts)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    join = jaccard.Join(spark.createDataFrame(rows, "doc_id long, text string"), 75, 100, 5, 8)
+    documents, entities, labels = join.run()
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard._named(join, documents, entities, labels).collect()}
+    table = lambda name: {tuple(r) for r in spark.read.parquet(f"{join.folder}/{name}").collect()}
+    component = {r["entity"]: r["component"] for r in labels.collect()}
+    heads = {a for a, _ in table("star")}
+    placed = spark.read.parquet(f"{join.folder}/placed").select("a", "b", "outside").collect()
+    join.discard()
+    assert found == brute_force(rows)
+    assert len(heads) > 2 * len({component.get(a, a) for a in heads})
+    assert any(r["outside"] for r in placed)
+    assert max(Counter((component.get(r["a"], r["a"]), r["b"]) for r in placed).values()) == 1
+
+
 def thue_morse(bits):
     word = "a"
     while len(word) < bits:
