@@ -44,10 +44,6 @@ class Files:
         found = self.system.get_file_info(fs.FileSelector(self.base, allow_not_found=True))
         return sorted(f.base_name for f in found if f.type == fs.FileType.File and not f.base_name.startswith("."))
 
-    def sizes(self, name: str) -> list[int]:
-        """Bytes of the files in a folder."""
-        return [f.size or 0 for f in self.system.get_file_info(fs.FileSelector(self.path(name), recursive=True, allow_not_found=True)) if f.type == fs.FileType.File]
-
     def delete_file(self, name: str) -> None:
         self.system.delete_file(self.path(name))
 

@@ -12,9 +12,11 @@ change to that.  So no writer loses another one's rows.
 Upkeep: the base is a segment of unique keys, bucketed and sorted by key, with a bloom filter
 on it.  Behind it lie up to RUNS changed segments; one more, and a run of neighbours of like
 size is merged into one (``pick``), so a row is rewritten about log(size) times; the base takes
-part only when the changes amount to a share of it.  A read joins the base with the changed
-keys, which are broadcast as long as the manifest bounds their bytes; beyond that they are
-shuffled to the base's buckets, and the base itself isn't.
+part only when the changes amount to a share of it.  The base has as many buckets as keep what
+a task needs to sort one of them under BUCKET_BYTES, by the counts in the manifest.  A read joins
+the base with the changed keys, which are broadcast as long as the manifest bounds their bytes;
+beyond that they are shuffled to the base's buckets, and the base itself isn't, unless the changes
+are so much larger that its buckets can't take them.
 """
 
 from __future__ import annotations
@@ -47,8 +49,10 @@ BASE_SHARE = 0.25
 BROADCAST_BYTES = 64 << 20
 #: Bytes that a key takes in a broadcast table besides its own.
 _KEY_OVERHEAD = 16
-#: Bytes of a bucket of the base.
-BUCKET_BYTES = 256 << 20
+#: Bytes of memory that the sort of a bucket of the base takes.
+BUCKET_BYTES = 64 << 20
+#: Bytes that a row takes in a sort besides its values: null bits and the sort's pointers, whose array doubles.
+_ROW_OVERHEAD = 40
 #: Manifests that stay when ``vacuum`` deletes old ones.
 KEPT_MANIFESTS = 3
 _MANIFEST = re.compile(r"manifest-([0-9]{9})\.json")
@@ -60,6 +64,7 @@ class Segment:
     rows: int
     seq: int = 0
     key_bytes: int = 0
+    sort_bytes: int = 0  # that a sort of all rows takes; 0: not known, as in older manifests
     unique: bool = False  # each key once, no deletes
     buckets: int = 0  # by the hash of the key; 0: none
 
@@ -194,10 +199,15 @@ class KeyedTable:
         if not base:
             return self._live(self._merged(rest))
         key = self.manifest.key
-        changed = self._segments(rest).select(key).distinct()
-        size = sum(s.key_bytes + _KEY_OVERHEAD * s.rows for s in rest)
-        changed = F.broadcast(changed) if size <= BROADCAST_BYTES else changed.hint("merge")
-        return self._segment(base[0]).join(changed, key, "left_anti").select(*self.names).union(self._live(self._merged(rest)))
+        old, changed = self._segment(base[0]), self._segments(rest).select(key)
+        if sum(s.key_bytes + _KEY_OVERHEAD * s.rows for s in rest) <= BROADCAST_BYTES:
+            changed = F.broadcast(changed.distinct())
+        else:
+            # dealt here: Spark would shuffle a base that has fewer buckets than spark.sql.shuffle.partitions
+            n = max(base[0].buckets, _parts(sum(s.key_bytes + (8 + _ROW_OVERHEAD) * s.rows for s in rest)))
+            old = old if n == base[0].buckets else old.repartition(n, key)
+            changed = changed.repartition(n, key).distinct().hint("merge")
+        return old.join(changed, key, "left_anti").select(*self.names).union(self._live(self._merged(rest)))
 
     def read(self) -> DataFrame:
         """The table's rows as of the manifest that was read last."""
@@ -212,30 +222,35 @@ class KeyedTable:
     def _new(self) -> str:
         return f"segment-{uuid.uuid4().hex}"
 
-    def _write(self, df: DataFrame, unique: bool = False) -> Segment:
-        """Write rows as a segment, the base bucketed and sorted by key."""
+    def _write(self, df: DataFrame, buckets: int = 0) -> Segment:
+        """Write rows as a segment, those of a base (buckets: how many) bucketed and sorted by key."""
         name, key = self._new(), self.manifest.key
         path = f"{self.files.uri}/{name}"
         options = {f"parquet.bloom.filter.enabled#{key}": "true", f"parquet.bloom.filter.adaptive.enabled#{key}": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
-        buckets = 0
-        if unique:
-            buckets = self._buckets()
+        if buckets:
             known = f"millrace_{name.rpartition('-')[2]}"
             rows = df.withColumns({"__ord": F.lit(0).cast("long"), "__op": F.lit(0).cast("byte")}).repartition(buckets, key).sortWithinPartitions(key)
             rows.write.options(**options).bucketBy(buckets, key).sortBy(key).format("parquet").option("path", path).saveAsTable(known)
         else:
             df.write.options(**options).parquet(path)
-        length = F.lit(4) if dict(self.manifest.columns)[key] == "INT" else F.octet_length(key)
-        n, size = self.spark.read.schema(self._full).parquet(path).agg(F.count(F.lit(1)), F.coalesce(F.sum(length), F.lit(0))).first()
-        return Segment(name, n, 0, size, unique, buckets)
-
-    def _buckets(self) -> int:
-        """Buckets for a base of what the table holds now."""
-        size = 0
-        for segment in self.manifest.segments:
-            found = self.files.sizes(segment.name)
-            size += sum(found)
-        return max(1, -(-size // BUCKET_BYTES))
+        return Segment(name, *self._measured(name), unique=buckets > 0, buckets=buckets)
+
+    def _measured(self, name: str) -> tuple[int, int, int, int]:
+        """A segment's rows, its number (0: none yet), and the bytes of its keys and of a sort of it."""
+        lengths = {n: F.coalesce(F.sum(F.octet_length(n)), F.lit(0)) for n, kind in self.manifest.columns if kind == "STRING"}
+        found = self.spark.read.schema(self._full).parquet(f"{self.files.uri}/{name}").agg(F.count(F.lit(1)), *lengths.values()).first()
+        n, text = found[0], dict(zip(lengths, found[1:], strict=True))
+        return n, 0, text.get(self.manifest.key, 4 * n), self._sort_bytes(n, sum(text.values()))
+
+    def _sort_bytes(self, rows: int, text: int) -> int:
+        """Bytes of memory that a sort of so many rows with so many bytes of text takes; a text also has its place and is filled up to 8."""
+        strings = sum(kind == "STRING" for _, kind in self.manifest.columns)
+        return rows * (8 * (len(self._full) + strings) + _ROW_OVERHEAD) + text
+
+    def _buckets(self, segments: list[Segment]) -> int:
+        """Buckets for a base of what these segments hold, as many as Spark allows at most."""
+        size = sum(s.sort_bytes or self._measured(s.name)[3] for s in segments)
+        return min(_parts(size), int(self.spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
 
     def _add(self, segment: Segment, counter: int, stream: str | None = None, epoch: int | None = None) -> bool:
         def change(manifest: Manifest) -> bool:
@@ -263,7 +278,8 @@ class KeyedTable:
             pq.write_table(pa.table(columns, names=[*self.names, "__ord", "__op"]), self.files.path(f"{name}/part-0.parquet"), filesystem=self.files.system)
             keys = [row[self.names.index(key)] for row in rows]
             size = sum(len(k.encode()) if isinstance(k, str) else 4 for k in keys)
-            self._add(Segment(name, len(rows), 0, size), len(rows))
+            text = sum(len(x.encode()) for row in rows for x in row if isinstance(x, str))
+            self._add(Segment(name, len(rows), 0, size, self._sort_bytes(len(rows), text)), len(rows))
         return len(rows)
 
     def put(self, df: DataFrame, stream: str | None = None, epoch: int | None = None) -> int:
@@ -333,7 +349,7 @@ class KeyedTable:
     def _merge(self, start: int, end: int) -> None:
         """Put a run of neighbouring segments into one that has the newest row of each key; from the first segment on, deletes go."""
         old = self.manifest.segments[start:end]
-        new = self._write(self._newest(old), unique=True) if start == 0 else self._write(self._merged(old).drop("__seq"))
+        new = self._write(self._newest(old), self._buckets(old)) if start == 0 else self._write(self._merged(old).drop("__seq"))
         names = [s.name for s in old]
 
         def change(manifest: Manifest) -> bool:
@@ -363,6 +379,11 @@ class KeyedTable:
             self.files.delete_file(_manifest_name(version))
 
 
+def _parts(size: int) -> int:
+    """Tasks that so many bytes to be sorted are dealt to."""
+    return max(1, -(-size // BUCKET_BYTES))
+
+
 def versions(files: Files) -> list[int]:
     """Numbers of a table's manifests; none if there is no table."""
     return sorted(int(m[1]) for m in map(_MANIFEST.fullmatch, files.names()) if m)

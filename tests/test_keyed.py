@@ -1,7 +1,10 @@
 """Keyed tables: upserts, deletes, and that upkeep never changes a result."""
 
 import random
+import re
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 
 from millrace import errors as e
@@ -231,6 +234,40 @@ def test_reads_do_not_shuffle_the_base(db, monkeypatch, limit):
     assert rows(db, "SELECT COUNT(k), SUM(v) FROM t WHERE s = 'new'") == [(200000, 19999900000.0)] and rows(db, "SELECT COUNT(k) FROM t") == [(300000,)]
 
 
+def test_a_bucket_fits_a_task_however_well_it_compresses(db, monkeypatch):
+    """200,000 rows that take little of a file: buckets follow the memory that sorting them takes, also by a manifest that doesn't tell it."""
+    monkeypatch.setattr(keyed, "BUCKET_BYTES", 1 << 21)
+    db.run("INSERT INTO t SELECT range, 0, 'the same long text in each row' FROM range(0, 200000)")
+    table = db.table("t")
+    table.compact()
+    (base,) = table.manifest.segments
+    files = [pq.read_metadata(f) for f in Path(table.files.path(base.name)).glob("*.parquet")]
+    assert sum(f.num_rows for f in files) == 200000 and sum(f.row_group(0).total_byte_size for f in files) < 1 << 21
+    assert len(files) == base.buckets and max(f.num_rows for f in files) * (5 * 8 + 30 + 16) < 1.1 * keyed.BUCKET_BYTES
+    known, base.sort_bytes = base.sort_bytes, 0
+    assert table._buckets([base]) == base.buckets and table._measured(base.name)[3] == known
+    table.put_rows([(7, 1.0, "é"), (8, None, None)])
+    assert table.manifest.segments[-1].sort_bytes == table._measured(table.manifest.segments[-1].name)[3]
+
+
+@pytest.mark.parametrize("changes", [2000, 200000])
+def test_large_changes_to_a_base_of_few_buckets(db, monkeypatch, changes):
+    """The base isn't shuffled where its buckets take the changes in, though they are fewer than shuffle partitions; beyond that no task takes them all."""
+    monkeypatch.setattr(keyed, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(keyed, "BUCKET_BYTES", 1 << 20)
+    db.run("INSERT INTO t BULK 15000")
+    table = db.table("t")
+    table.compact()
+    assert table.manifest.segments[0].buckets == 2
+    db.run(f"INSERT INTO t SELECT range + 5000, range, 'new' FROM range(0, {changes})")
+    plan = table.read()._jdf.queryExecution().executedPlan().toString()
+    above_base, _, changed = plan[plan.index("LeftAnti") :].split("Union")[0].partition("FileScan")
+    dealt = int(re.search(r"hashpartitioning\(k#\d+, (\d+)\), REPARTITION_BY_NUM", changed)[1])
+    assert ("Exchange" in above_base) == (changes > 2000) and (dealt == 2 if changes == 2000 else dealt * keyed.BUCKET_BYTES > changes * 50)
+    assert rows(db, "SELECT COUNT(k) FROM t") == [(max(15000, 5000 + changes),)]
+    assert rows(db, "SELECT COUNT(k), SUM(v) FROM t WHERE s = 'new'") == [(changes, changes * (changes - 1) / 2)]
+
+
 def test_a_point_get_reads_one_bucket_and_asks_the_bloom_filter(db, spark, monkeypatch):
     monkeypatch.setattr(keyed, "BUCKET_BYTES", 1 << 18)
     db.run("INSERT INTO t BULK 100000")
